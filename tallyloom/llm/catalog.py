@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bytebpe, minhash, mixing, pii, quality, store, tokenfile
+from tallyloom.llm import bytebpe, minhash, mixing, phrases, pii, quality, store, suffixes, tokenfile
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.deduplicate(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_read(spark, sf_dir, "documents"))
 
@@ -44,4 +52,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minhash, op4_byte_bpe, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_phrase_dedup, op3_minhash, op4_byte_bpe, op5_suffix_dedup, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality)}
