@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bytebpe, minhash, mixing, phrases, pii, quality, store, suffixes, tokenfile
+from tallyloom.llm import annlinks, bytebpe, minhash, mixing, phrases, pii, quality, store, suffixes, tokenfile, vptree
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_read(spark, sf_dir, "embeddings"), k=20, query_modulus=20, factor=1.0)
+
+
 def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.deduplicate(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -52,4 +56,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_phrase_dedup, op3_minhash, op4_byte_bpe, op5_suffix_dedup, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality)}
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annlinks.links(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vp_tree, op2_phrase_dedup, op3_minhash, op4_byte_bpe, op5_suffix_dedup, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality, op10_embedding_links)}
