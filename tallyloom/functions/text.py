@@ -10,6 +10,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Title rules as (code, pattern).
 SAFETY_RULES = (
@@ -35,29 +36,29 @@ def normalized(t: Column) -> Column:
     return F.regexp_replace(F.lower(t), "[^0-9a-z가-힣]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_title(t: pd.Series) -> pd.Series:
     """NFC, casefold, single spaces."""
     return t.map(lambda v: " ".join(unicodedata.normalize("NFC", v or "").casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(t: pd.Series) -> pd.Series:
     return t.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio; the order of the arguments matters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(t: pd.Series) -> pd.Series:
     return t.map(lambda v: None if v is None else html.unescape(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_unicode(u: pd.Series) -> pd.Series:
     """Percent-encode what isn't ASCII, leave reserved characters and escapes alone."""
     return u.map(lambda v: None if v is None else quote(v, safe=":/?#[]@!$&'()*+,;=%"))

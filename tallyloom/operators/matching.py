@@ -144,6 +144,6 @@ def allowed_by_rules(urls: DataFrame, rules: DataFrame, path: str = "path") -> D
     literal = F.regexp_replace(body, r"([.\\+?()\[\]{}|^$])", r"\\$1")
     compiled = rules.select(F.concat(F.lit("^"), F.replace(literal, F.lit("*"), F.lit(".*")), F.when(ends, F.lit("$")).otherwise(F.lit(""))).alias("regex"), F.length(F.replace(body, F.lit("*"), F.lit(""))).alias("size"), "allow")
     packed = compiled.agg(F.collect_list(F.struct("size", "allow", "regex")).alias("rules"))  # one robots file
-    hit = F.filter("rules", lambda r: F.col(path).rlike(r["regex"]))
+    hit = F.filter("rules", lambda r: F.regexp_like(F.col(path), r["regex"]))
     best = F.array_max(F.transform(hit, lambda r: F.struct(r["size"], r["allow"])))
     return urls.crossJoin(F.broadcast(packed)).select(*urls.columns, F.coalesce(best["allow"], F.lit(True)).alias("allowed"))

@@ -1,11 +1,10 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyloom.plans import counts, joins, orders, texts, windows  # noqa: F401  they register their queries
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 FLAGSHIP = "edition_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}

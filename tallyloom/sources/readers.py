@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STORY = "id string, topicKey string, category string, title string, summary array<string>, publishedAt string, url string"
 EDITION = f"id string, date string, edition string, cutoffAt string, archive boolean, stories array<struct<{STORY.replace(' string', ':string').replace(' array<string>', ':array<string>')}>>"
@@ -78,7 +79,7 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(page: pd.Series) -> pd.Series:
     """Text of a page as a reader sees it, white space collapsed."""
 
@@ -114,7 +115,7 @@ def listing(pages: DataFrame, row_id: str, html: str) -> DataFrame:
     return rows.groupBy(row_id, "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def assigned_json(source: pd.Series, name: pd.Series) -> pd.Series:
     """The JSON value that a page's script assigns to ``NAMESPACE.name``; null if there is none."""
     import re
