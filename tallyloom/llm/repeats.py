@@ -119,11 +119,12 @@ SINGLE, SEVERAL, DECIDED = 0, 1, 2
 
 
 def blocks(doc: np.ndarray, place: np.ndarray, name: np.ndarray, whole: np.ndarray, buckets: int, earlier: bool) -> pa.RecordBatch:
-    """Combine equal stretches of a chunk and deal all to buckets.
+    """Combine equal stretches of a chunk and deal all to buckets. A name that is the stretch's own isn't sent.
 
     State DECIDED: another of the chunk stands for it (and it is to be removed).
     SEVERAL: it stands for others too.
     """
+    alone = name is whole
     order = np.lexsort((place, doc, whole))
     doc, place, name, whole = doc[order], place[order], name[order], whole[order]
     first = np.ones(len(doc), dtype=bool)
@@ -144,7 +145,7 @@ def blocks(doc: np.ndarray, place: np.ndarray, name: np.ndarray, whole: np.ndarr
     at, start = np.unique(bucket, return_index=True)
     ends = np.append(start[1:], len(bucket))
     cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist())], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(at), cut((name >> _U(32)).astype(np.uint32)), cut(whole), cut(doc), cut(place), cut(state)], names=BLOCK.fieldNames())
+    return pa.RecordBatch.from_arrays([pa.array(at), cut((name[: 0 if alone else len(name)] >> _U(32)).astype(np.uint32)), cut(whole), cut(doc), cut(place), cut(state)], names=BLOCK.fieldNames())
 
 
 def resolve(earlier: bool, with_edges: bool):
@@ -153,6 +154,7 @@ def resolve(earlier: bool, with_edges: bool):
     def run(table: pa.Table) -> pa.Table:
         raw = lambda i, kind: np.frombuffer(b"".join(table.column(i).to_pylist()), kind)
         name, whole, doc, place, state = raw(1, np.uint32), raw(2, np.uint64), raw(3, np.int64), raw(4, np.int64), raw(5, np.uint8)
+        name = name if len(name) else (whole >> _U(32)).astype(np.uint32)
         decided = state == DECIDED
         out_doc, out_place, out_kind = [doc[decided]], [place[decided]], [np.full(int(decided.sum()), REMOVED)]
         live = np.flatnonzero(~decided)
