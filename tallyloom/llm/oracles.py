@@ -1,3 +1,56 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+_VECTORS = f"(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE})"
+# Sums run from the first component to the last, as in the query.
+_DOT = "list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda s, v: s + v)"
+
+
+
+def _components(nodes: str, edges: str) -> str:
+    """CTEs: ``best(node, root)``, the smallest node reachable over ``edges(a, b)``, given both ways."""
+    return f"""reach(node, root) AS (SELECT node, node FROM ({nodes}) UNION SELECT e.b, r.root FROM reach r JOIN {edges} e ON e.a = r.node WHERE r.root < e.b),
+best AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_vp_tree": f"""
+WITH v AS {_VECTORS},
+p AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT.format(a="q.e", b="c.e")} AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20""",
+    "op2_phrase_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
+again AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i FROM k JOIN again USING (h)), (SELECT unnest(generate_series(0, 34)) AS j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM words WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = words.doc_id AND gone.pos = words.pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+{_components("SELECT doc_id AS node FROM d", "e")}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, root AS component_id, root = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN best ON node = d.doc_id""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 100)) AS i FROM d)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k),
+starts AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM f WHERE r > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS n FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE coalesce(head, '') || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_embedding_links": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt({_DOT.format(a="e", b="e")})) AS e FROM {_VECTORS} WHERE label IS NOT NULL),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE {_DOT.format(a="x.e", b="y.e")} >= 0.93),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+{_components("SELECT DISTINCT vec_id AS node FROM embeddings", "e")}
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, root AS component_id, root = m.vec_id AS kept FROM embeddings m LEFT JOIN n ON n.a = m.vec_id JOIN best ON node = m.vec_id""",
+}
