@@ -37,14 +37,15 @@ def annotate(rows: DataFrame, row_id: str, matches: DataFrame) -> DataFrame:
 
 
 def equal_pairs(df: DataFrame, row_id: str, pos: str, within: list[str], keys: list[str]) -> DataFrame:
-    """Earlier and later rows of a group that share a key: a self-join per key, united. A null key matches nothing.
+    """Earlier and later rows of a group that share a key: an aggregation and a join per key, united. A null key matches nothing.
 
     Pairs are with the first row of the key only, so a key with many rows gives one pair a row.
     """
     parts = []
     for key in keys:
-        w = Window.partitionBy(*within, key).orderBy(pos)
-        parts.append(df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("later"), F.first(row_id).over(w).alias("earlier"), F.lit(key).alias("reason")).where("earlier <> later"))
+        known = df.where(F.col(key).isNotNull())
+        first = known.groupBy(*within, key).agg(F.min_by(row_id, pos).alias("earlier"))
+        parts.append(known.join(first, [*within, key]).select(F.col(row_id).alias("later"), "earlier", F.lit(key).alias("reason")).where("earlier <> later"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
