@@ -14,10 +14,11 @@ Steps
 3. In each bucket every class is compared with the bucket's hub (the class whose
    sub-keys are the most common): a row per member, not per pair.
 4. Links are confirmed on the full sets of shingles and joined to components.
-5. Buckets that still hold several components give their pairs across components,
-   less those that cannot reach the threshold: by sizes, and in large buckets by
-   the number of shingles shared with other components (both are exact bounds).
-   These are confirmed and joined too. No candidate pair is left unresolved.
+5. Members of buckets that still hold several components give their pairs across
+   components, each pair once, less those that cannot reach the threshold: by sizes,
+   and in large buckets by the number of shingles that a class alone shares with other
+   components (both are exact bounds). These are confirmed and joined too. No candidate
+   pair is left unresolved.
 
 Defined cases. Null or empty text, or one without words: empty set, linked with
 nothing. Null id: ``component_id`` null, kept. Rows repeated under one id: nodes
@@ -153,16 +154,20 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _shared(k: int):
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("comp", T.LongType()), T.StructField("h", T.LongType())])
+def _of_components(k: int):
+    """(component, shingle) of each chunk of texts, once a chunk."""
+    schema = T.StructType([T.StructField("comp", T.LongType()), T.StructField("h", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in V.chunks(batch.column(2)):
-                got = sets(t, k)
-                n = [len(s) for s in got]
-                ids, comp = (np.repeat(batch.column(i).slice(t.first, t.rows).to_numpy(), n) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp), pa.array(np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64))], names=schema.fieldNames())
+            for t in V.chunks(batch.column(1)):
+                h, limits = shingles(t, k)
+                comp = np.repeat(batch.column(0).slice(t.first, t.rows).to_numpy(), np.diff(limits))
+                order = np.lexsort((h, comp))
+                comp, h = comp[order], h[order].view(np.int64)
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (comp[1:] != comp[:-1]) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(comp[new]), pa.array(h[new])], names=schema.fieldNames())
 
     return run, schema
 
@@ -181,14 +186,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     common = sub.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     side = lambda low: F.collect_list(F.when((F.col("slot") >= TABLES_SIDE) == F.lit(not low), F.col("key")))  # noqa: E731  at most TABLES_SIDE each
     have = sub.join(common, "key").groupBy("doc_id", "n").agg(side(True).alias("us"), side(False).alias("vs"), F.sum(F.log2("times")).alias("score"))
-    have = have.where((F.size("us") > 0) & (F.size("vs") > 0))
+    have, have_path = store.written(have.where((F.size("us") > 0) & (F.size("vs") > 0)), "minhash-keys")
     rows = have.select("doc_id", "n", "score", F.explode("us").alias("x"), "vs").select("doc_id", "n", "score", "x", F.explode("vs").alias("y")).select(F.xxhash64("x", "y").alias("key"), "doc_id", "n", "score")
-    rows, rows_path = store.written(rows, "minhash-rows")
 
     hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(-F.col("score"), F.col("doc_id").alias("doc_id"), F.col("n").alias("n"))).alias("hub")).where("size > 1")
     hubs = hubs.select("key", "size", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     placed, placed_path = store.written(rows.join(hubs, "key").select("key", "size", "doc_id", "n", "hub", "hub_n"), "minhash-placed")
-    store.remove(spark, rows_path)
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = placed.where((F.col("doc_id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
@@ -213,27 +216,30 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     # Buckets that several components still share.
     now = placed.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest, rest_path = store.written(now.join(mixed, "key", "left_semi").select("key", "size", "doc_id", "n", "hub", "comp"), "minhash-rest")
+    rest = now.join(mixed, "key", "left_semi").groupBy("doc_id", "n", "comp", F.col("component").isNull().alias("alone")).agg((F.max("size") > LARGE_BUCKET).alias("big"))
+    rest, rest_path = store.written(rest, "minhash-rest")
 
-    big = rest.where(F.col("size") > LARGE_BUCKET).select("doc_id", "comp").distinct()
-    run, schema = _shared(k)
-    each = big.join(texts, "doc_id").select("doc_id", "comp", "text").mapInArrow(run, schema)
+    # Of a class alone in a large bucket: the shingles that another component there has too.
+    run, schema = _of_components(k)
+    each = rest.where("big").select("doc_id", "comp").join(texts, "doc_id").select("comp", "text").mapInArrow(run, schema)
     each, each_path = store.written(each, "minhash-each")
     across = each.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    shared = each.join(across, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = each.join(rest.where("big and alone").select("comp"), "comp", "left_semi").join(across, "h", "left_semi").groupBy(F.col("comp").alias("doc_id")).agg(F.count_distinct("h").alias("shared"))
+    bound = F.when(F.col("big") & F.col("alone"), F.coalesce("shared", F.lit(0))).otherwise(F.col("n").cast("long"))
+    live = rest.join(shared, "doc_id", "left").withColumn("s", bound).where(F.col("s") * 100 >= F.col("n") * percent)
 
     # |A & B| >= percent / (100 + percent) * (|A| + |B|) where they link, and |A & B| is at most what either shares with others.
-    enough = lambda s, x, y: s * (100 + percent) >= (x + y) * percent
-    large = rest.where(F.col("size") > LARGE_BUCKET).join(shared, "doc_id").where(F.col("shared") * 100 >= F.col("n") * percent)
-    small = rest.where(F.col("size") <= LARGE_BUCKET).withColumn("shared", F.col("n").cast("long"))
-
-    def across_pairs(part: DataFrame) -> DataFrame:
-        x = part.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("shared").alias("s1"), "hub")
-        y = part.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("shared").alias("s2"))
-        ok = (x.key == y.key) & (F.col("a") > F.col("b")) & (F.col("c1") != F.col("c2")) & fits(F.col("n1"), F.col("n2")) & enough(F.col("s1"), F.col("n1"), F.col("n2")) & enough(F.col("s2"), F.col("n1"), F.col("n2"))
-        return x.join(y, ok & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))).select("a", "b")
-
-    second, second_path = store.written(links(across_pairs(small).unionAll(across_pairs(large)).distinct()), "minhash-links")
+    enough = lambda v, x, y: v * (100 + percent) >= (x + y) * percent
+    keyed = live.join(have.select("doc_id", "us", "vs"), "doc_id").select("doc_id", "n", "comp", "s", "us", "vs", F.explode("us").alias("u"))
+    x = keyed.select("u", F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("s").alias("s1"), F.col("us").alias("us1"), F.col("vs").alias("vs1"))
+    y = keyed.select(F.col("u").alias("w"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("s").alias("s2"), F.col("us").alias("us2"), F.col("vs").alias("vs2"))
+    # A pair that meets in some table is made once: at the least sub-key that both have.
+    meets = (F.col("u") == F.col("w")) & (F.col("a") > F.col("b")) & (F.col("c1") != F.col("c2"))
+    can = fits(F.col("n1"), F.col("n2")) & enough(F.col("s1"), F.col("n1"), F.col("n2")) & enough(F.col("s2"), F.col("n1"), F.col("n2"))
+    once = F.arrays_overlap("vs1", "vs2") & (F.array_min(F.array_intersect("us1", "us2")) == F.col("u"))
+    pairs = x.join(y, meets & can & once).select("a", "b")
+
+    second, second_path = store.written(links(pairs), "minhash-links")
     comps2, comps2_path = store.written(connected(first.unionAll(second)), "minhash-comps")
 
     members = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
@@ -241,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     out = members.join(comps2.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     result, result_path = store.written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), "minhash-result")
-    store.remove(spark, signed_path, placed_path, texts_path, first_path, comps_path, rest_path, each_path, second_path, comps2_path)
+    store.remove(spark, signed_path, have_path, placed_path, texts_path, first_path, comps_path, rest_path, each_path, second_path, comps2_path)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
