@@ -28,7 +28,6 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.llm import store
 
@@ -155,16 +154,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     return both.select("doc_id", "source", "h", "size", "source_size", "target", taken.cast("long").alias("taken"), draws.alias("draws"))
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: a row of ``docs`` for each draw, dealt to its shard and shuffled within by a hash. Rows keep their columns."""
+def materialise(docs: DataFrame, mixed: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: a row of ``docs`` for each draw, dealt to its shard and shuffled within by a hash. Rows keep their columns; ``seed`` is the mix's."""
     columns = docs.columns
     drawn = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode("draws").alias("_d"))
-    h = F.xxhash64(F.lit(11), F.col(id_col), F.xxhash64(F.col(text_col)))
-    # Rows repeated in the input were drawn each on its own; one stands for all here, so that a join can't multiply them.
-    drawn = drawn.groupBy("_id", "_h", "_d.epoch", "_d.shard").agg(F.count("*").alias("_n"))
-    rows = docs.withColumn("_hh", h).withColumn("_k", F.lit(0))
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
+    # Equal rows of the input were drawn each on its own: one draw stands for all here, so that the join can't multiply them.
+    drawn = drawn.select("_id", "_h", "_d.epoch", "_d.shard").distinct()
+    rows = docs.withColumn("_hh", h)
     joined = rows.join(drawn, rows[id_col].eqNullSafe(drawn._id) & (rows._hh == drawn._h))
     return joined.repartitionByRange("shard", F.xxhash64("epoch", "_hh")).sortWithinPartitions("shard", F.xxhash64("epoch", "_hh")).select(*columns)
 
-
-OUTPUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
