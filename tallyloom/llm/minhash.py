@@ -219,14 +219,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     rest = now.join(mixed, "key", "left_semi").groupBy("doc_id", "n", "comp", F.col("component").isNull().alias("alone")).agg((F.max("size") > LARGE_BUCKET).alias("big"))
     rest, rest_path = store.written(rest, "minhash-rest")
 
-    # Of a class alone in a large bucket: the shingles that another component there has too.
+    # Of a class alone in a large bucket: the shingles that no other component there has.
     run, schema = _of_components(k)
     each = rest.where("big").select("doc_id", "comp").join(texts, "doc_id").select("comp", "text").mapInArrow(run, schema)
     each, each_path = store.written(each, "minhash-each")
-    across = each.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    shared = each.join(rest.where("big and alone").select("comp"), "comp", "left_semi").join(across, "h", "left_semi").groupBy(F.col("comp").alias("doc_id")).agg(F.count_distinct("h").alias("shared"))
-    bound = F.when(F.col("big") & F.col("alone"), F.coalesce("shared", F.lit(0))).otherwise(F.col("n").cast("long"))
-    live = rest.join(shared, "doc_id", "left").withColumn("s", bound).where(F.col("s") * 100 >= F.col("n") * percent)
+    only = each.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").groupBy(F.col("x").alias("doc_id")).agg(F.count("*").alias("unshared"))
+    bound = F.when(F.col("big") & F.col("alone"), F.col("n") - F.coalesce("unshared", F.lit(0))).otherwise(F.col("n").cast("long"))
+    live = rest.join(only, "doc_id", "left").withColumn("s", bound).where(F.col("s") * 100 >= F.col("n") * percent)
 
     # |A & B| >= percent / (100 + percent) * (|A| + |B|) where they link, and |A & B| is at most what either shares with others.
     enough = lambda v, x, y: v * (100 + percent) >= (x + y) * percent

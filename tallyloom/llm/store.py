@@ -25,7 +25,9 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # The stages that made the table are over: let Spark's cleaner drop their shuffle files now.
+    # The stages that made the table are over: let Spark's cleaner drop their shuffle files now. The
+    # scheduler holds the last job's plan until the next one, so a job of one row comes before.
+    spark.range(1).collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
