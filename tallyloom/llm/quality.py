@@ -34,6 +34,7 @@ BUCKET_BITS = 15
 N_STATS = 14
 STATS_AT = 1 << BUCKET_BITS
 DIM = STATS_AT + N_STATS
+BATCH = 64
 
 
 def features(t: V.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,17 +115,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(*features(t), t.rows), -30, 30)))
 
 
-def fit(row: np.ndarray, feat: np.ndarray, x: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 10, rate: float = 0.08, decay: float = 2e-5, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss, in fixed order of mini-batches."""
+def fit(row: np.ndarray, feat: np.ndarray, x: np.ndarray, y: np.ndarray, rank: int = 6, steps: int = 640, rate: float = 0.08, decay: float = 2e-5, seed: int = 7) -> Machine:
+    """Adagrad on the logistic loss, in fixed order of mini-batches: ``steps`` of them, however small the sample is."""
     rows = len(y)
     rng = np.random.default_rng(seed)
     m = Machine(float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.zeros(DIM), rng.normal(0, 0.02, (DIM, rank)))
     gw, gv, g0 = np.full(DIM, 1e-2), np.full((DIM, rank), 1e-2), 1e-2
     limits = np.searchsorted(row, np.arange(rows + 1))
-    for _ in range(epochs):
+    for _ in range(-(-steps * BATCH // rows)):
         order = rng.permutation(rows)
-        for a in range(0, rows, 64):
-            b = order[a : a + 64]
+        for a in range(0, rows, BATCH):
+            b = order[a : a + BATCH]
             take = V.ragged(limits[b], limits[b + 1] - limits[b])
             r, f, z = np.repeat(np.arange(len(b)), limits[b + 1] - limits[b]), feat[take], x[take]
             vx = m.v[f] * z[:, None]
