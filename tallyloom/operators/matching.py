@@ -56,11 +56,15 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], left_text: str
     """Rows of equal block ``on`` whose texts are at least ``least`` alike (left first).
 
     The ratio can't exceed twice the shorter length over both, so the UDF sees only pairs
-    that pass this bound; equality passes without it.
+    that pass this bound, and each pair of texts once.
     """
     pairs = left.join(right, on)
     pairs = pairs.where((F.length(left_text) >= min_length) & (similarity_bound(F.col(left_text), F.col(right_text)) >= least))
-    return pairs.withColumn("ratio", similarity(left_text, right_text)).where(F.col("ratio") >= least)
+    # By a number: few bytes of texts are much work, which adaptive execution would put in one task. The filter must stay
+    # above the UDF, else it is moved, with the UDF, below the distinct.
+    texts = pairs.select(left_text, right_text).distinct().repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left_text, right_text)
+    alike = texts.withColumn("ratio", similarity.asNondeterministic()(left_text, right_text)).where(F.col("ratio") >= least)
+    return pairs.join(alike, [left_text, right_text])
 
 
 def latest_before(rows: DataFrame, prior: DataFrame, key: str, at: str, prior_at: str, prior_id: str) -> DataFrame:
