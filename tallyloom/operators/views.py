@@ -127,8 +127,8 @@ def positional(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cards(sources: DataFrame, story: str, url: str, pos: str, related_first: str, most: int = 3) -> DataFrame:
-    """At most three source cards a story: the last of equal URLs, rows with related data first."""
-    last = sources.groupBy(story, url).agg(F.max_by(F.struct(pos, related_first), pos).alias("s")).select(story, url, "s.*")
+    """At most three source cards a story: the last of equal URLs (at one place, one with related data), rows with related data first."""
+    last = sources.groupBy(story, url).agg(F.max(F.struct(pos, related_first)).alias("s")).select(story, url, "s.*")
     return placed(last, [story], [F.col(related_first).cast("int").desc(), F.col(pos), F.col(url)], "card").where(F.col("card") <= most)
 
 

@@ -1,5 +1,6 @@
 """Queries that once read a part of their table, on small tables of which that part is not all."""
 
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import pytest
@@ -37,3 +38,30 @@ def test_similar_titles_equal_brute_force(run):
     want = [(a[0], b[0], ratio(a, b)) for a in rows for b in rows if a[2] == b[2] and b[0] < a[0] and ratio(a, b) >= 0.82]
     assert any(b % 10 for _, b, _ in want) and any(r < 1 for _, _, r in want)
     assert sorted(run("similar_titles", part=tables)) == sorted(want)
+
+
+def lines():
+    # Order 3 holds only odd places' items, supplier 8 has one line number twice, and lines go on past 5.
+    rows = [(3, 1, 7, 1, "N"), (3, 2, 8, 2, "N"), (3, 2, 8, 2, "A"), (3, 2, 8, 2, "N"), (3, 4, 9, 6, "A"), (3, 5, 7, 7, "N"), (2, 1, 7, 1, "A"), (5, 1, 6, 6, "N")]
+    return rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+
+
+def test_item_snapshot_of_all_orders(run):
+    assert sorted(run("item_snapshot", lineitem=lines())) == [(1, 5), (2, 3), (4, 3), (5, 3)]
+
+
+def test_source_cards_of_all_lines(run):
+    assert sorted(run("source_cards", lineitem=lines())) == [(2, 7, 1, 1), (3, 7, 7, 3), (3, 8, 2, 1), (3, 9, 6, 2), (5, 6, 6, 1)]
+
+
+def test_every_window_counts_all_users(run):
+    events = [(datetime(2024, 1, 3, 12), "error", 1), (datetime(2024, 1, 3, 13), "error", 5), (datetime(2024, 1, 4, 1), "error", 900), (datetime(2024, 1, 5, 1), "view", 2)]
+    got = {end: (n, empty) for end, n, empty in run("every_window", events=(events, "ts timestamp_ntz, event_type string, user_id long"))}
+    assert {end: x for end, x in got.items() if x != (0, 1)} == {"2024-01-03 21:00:00": (2, 0), "2024-01-04 09:00:00": (1, 0)}
+    assert got["2024-01-05 09:00:00"] == (0, 1) and len(got) == 62
+
+
+def test_registry_conflicts_of_all_ids(run):
+    rows = [(1, 4, 150.0), (2, 4, 990.0), (3, 5, 930.0), (4, 6, 10.0), (5, 7, 20.0), (7, 8, 500.0)]
+    want = [(1, 2, "topic"), (2, 1, "topic"), (2, 3, "url"), (3, 2, "url"), (4, 5, "url"), (5, 4, "url")]
+    assert sorted(run("registry_conflicts", supplier=(rows, "s_suppkey long, s_nationkey int, s_acctbal double"))) == want
