@@ -7,12 +7,14 @@
    dropped if one kept before is ``ALPHA`` times nearer to it), and the adjacency
    lists of a vector from all its shards are united.
 3. In each task a range-expanding greedy search runs for all vectors at once from
-   the block's medoids (and from a vector's own node where it is in the block):
-   the best open nodes of a beam and every node within the range are expanded.
-4. Links found are verified by cosine in double precision. A link counts in the
-   first shard (and block pair) that both vectors share, so it counts once.
-5. Tasks return counts and a local class per vector, not pairs; classes are joined
-   to components. :func:`audit` measures recall against brute force.
+   the block's medoids, a row of each further part of its graph (and from a vector's
+   own node where it is in the block): the best open nodes of a beam and every node
+   within the range are expanded.
+4. Links found are verified by cosine in double precision. A link found in any shard
+   that both vectors share counts, and counts once: where they share one shard it is
+   counted there, else the ids of the partners are united by vector.
+5. Tasks return counts, lists of such partners and a local class per vector; classes
+   are joined to components. :func:`audit` measures recall against brute force.
 
 Defined cases. A vector that is null, zero, empty, holds a null or a non-finite
 component, or has a null label links with nothing: 0 links, its own class. A null
@@ -47,7 +49,7 @@ MEDOIDS = 8
 
 PLACED = T.StructType([T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("homes", T.ArrayType(T.LongType()))])
 ADJACENT = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))])
-LINKED = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("head", T.LongType())])
+LINKED = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("head", T.LongType()), T.StructField("also", T.ArrayType(T.LongType()))])
 
 
 def _matrix(column) -> np.ndarray:
@@ -121,13 +123,15 @@ def medoids(x: np.ndarray) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, adjacent: list[np.ndarray] | np.ndarray, queries: np.ndarray, own: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of rows found with similarity of at least ``least``, by expansion from the medoids."""
+    """(query, row) of rows found with similarity of at least ``least``, by expansion from the medoids and the first row of each part that holds none."""
     n, m = len(x), len(queries)
     limits, flat = adjacent
     sim = np.full((m, n), -2.0, np.float32)
     done = np.zeros((m, n), dtype=bool)
     x32, q32 = x.astype(np.float32), queries.astype(np.float32)
     entry = medoids(x)
+    part = _heads(n, np.repeat(np.arange(n), np.diff(limits)), flat)
+    entry = np.concatenate([entry, np.setdiff1d(part, part[entry])])
     sim[:, entry] = q32 @ x32[entry].T
     if own is not None:
         at = np.arange(m)
@@ -207,12 +211,12 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
     pairs = full.select(*shard, "block", other, "vec_id", "x", "homes", "near").select(*shard, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "x", "homes", "near")
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        here, low, high = key[2].as_py(), key[3].as_py(), key[4].as_py()
+        low, high = key[3].as_py(), key[4].as_py()
         ids, block = table["vec_id"].to_numpy(), table["block"].to_numpy()
         x, homes = _unit(_matrix(table["x"])), _matrix(table["homes"])
         base, ask = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(base) or not len(ask):
-            return pa.table([pa.array([], pa.int64())] * 3, names=LINKED.fieldNames())
+            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.list_(pa.int64()))], names=LINKED.fieldNames())
         # The united lists, as far as they lead to rows of this block.
         near = table["near"].combine_chunks().take(pa.array(base))
         flat, count = near.flatten().to_numpy(), near.value_lengths().to_numpy()
@@ -226,24 +230,29 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
         a, b = np.minimum(a, b), np.maximum(a, b)
         key_ = np.unique(a[a != b] * len(ids) + b[a != b])
         a, b = key_ // len(ids), key_ % len(ids)
-        # Verified in double precision; counted only in the first shard of both.
-        keep = np.zeros(len(a), dtype=bool)
+        # Verified in double precision; ``several``: another shard may find the link too.
+        keep, several = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
         for z in range(0, len(a), 1 << 16):
             s = slice(z, z + (1 << 16))
             shared = (homes[a[s]][:, :, None] == homes[b[s]][:, None, :]).any(2)
-            first = np.where(shared, homes[a[s]], np.iinfo(np.int64).max).min(1)
-            keep[s] = (np.einsum("ij,ij->i", x[a[s]], x[b[s]]) >= least) & (first == here)
-        a, b = a[keep], b[keep]
-        n_links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+            several[s] = shared.sum(1) > 1
+            keep[s] = np.einsum("ij,ij->i", x[a[s]], x[b[s]]) >= least
+        a, b, several = a[keep], b[keep], several[keep]
+        n_links = np.bincount(a[~several], minlength=len(ids)) + np.bincount(b[~several], minlength=len(ids))
+        p, q = np.concatenate([a[several], b[several]]), np.concatenate([b[several], a[several]])
+        order = np.argsort(p, kind="stable")
+        n_also = np.bincount(p, minlength=len(ids))
         rank = np.argsort(ids)
         place = np.empty(len(ids), np.int64)
         place[rank] = np.arange(len(ids))
         head = ids[rank][_heads(len(ids), place[a], place[b])][place]
-        some = n_links > 0
-        return pa.table([pa.array(ids[some]), pa.array(n_links[some]), pa.array(head[some])], names=LINKED.fieldNames())
+        some = n_links + n_also > 0
+        also = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_also[some])]), pa.int32()), pa.array(ids[q[order]]))
+        return pa.table([pa.array(ids[some]), pa.array(n_links[some]), pa.array(head[some]), also], names=LINKED.fieldNames())
 
     found, _ = store.written(pairs.groupBy(*shard, "low", "high").applyInArrow(search, LINKED), "ann-links")
-    totals = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    also = F.size(F.array_distinct(F.flatten(F.collect_list("also"))))
+    totals = found.groupBy("vec_id").agg((F.sum("n_links") + also).alias("n_links"))
     comps = connected(found.select(F.col("vec_id").alias("a"), F.col("head").alias("b")), "ann-comps")
     out = rows.select("vec_id").join(totals, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
