@@ -216,12 +216,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     # Buckets that several components still share.
     now = placed.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = now.join(mixed, "key", "left_semi").groupBy("doc_id", "n", "comp", F.col("component").isNull().alias("alone")).agg((F.max("size") > LARGE_BUCKET).alias("big"))
+    inside, inside_path = store.written(now.join(mixed, "key", "left_semi").select("key", "size", "doc_id", "n", "comp", F.col("component").isNull().alias("alone")), "minhash-mixed")
+    rest = inside.groupBy("doc_id", "n", "comp", "alone").agg((F.max("size") > LARGE_BUCKET).alias("big"))
     rest, rest_path = store.written(rest, "minhash-rest")
 
-    # Of a class alone in a large bucket: the shingles that no other component there has.
+    # Of a class alone in a large bucket: the shingles that no other component has with which it shares any bucket, large or not.
     run, schema = _of_components(k)
-    each = rest.where("big").select("doc_id", "comp").join(texts, "doc_id").select("comp", "text").mapInArrow(run, schema)
+    touched = inside.join(rest.where("big").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
+    partners = inside.join(touched, "key", "left_semi").select("doc_id", "comp").distinct()
+    each = partners.join(texts, "doc_id").select("comp", "text").mapInArrow(run, schema)
     each, each_path = store.written(each, "minhash-each")
     only = each.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").groupBy(F.col("x").alias("doc_id")).agg(F.count("*").alias("unshared"))
     bound = F.when(F.col("big") & F.col("alone"), F.col("n") - F.coalesce("unshared", F.lit(0))).otherwise(F.col("n").cast("long"))
@@ -246,7 +249,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     out = members.join(comps2.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     result, result_path = store.written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), "minhash-result")
-    store.remove(spark, signed_path, have_path, placed_path, texts_path, first_path, comps_path, rest_path, each_path, second_path, comps2_path)
+    store.remove(spark, signed_path, have_path, placed_path, texts_path, first_path, comps_path, inside_path, rest_path, each_path, second_path, comps2_path)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
