@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm import store
-from tallyloom.llm.components import connected
+from tallyloom.llm.components import connected, heads
 from tallyloom.llm.vectext import ragged
 from tallyloom.llm.vptree import usable
 
@@ -130,7 +130,7 @@ def range_search(x: np.ndarray, adjacent: list[np.ndarray] | np.ndarray, queries
     done = np.zeros((m, n), dtype=bool)
     x32, q32 = x.astype(np.float32), queries.astype(np.float32)
     entry = medoids(x)
-    part = _heads(n, np.repeat(np.arange(n), np.diff(limits)), flat)
+    part = heads(n, np.repeat(np.arange(n), np.diff(limits)), flat)
     entry = np.concatenate([entry, np.setdiff1d(part, part[entry])])
     sim[:, entry] = q32 @ x32[entry].T
     if own is not None:
@@ -159,20 +159,6 @@ def range_search(x: np.ndarray, adjacent: list[np.ndarray] | np.ndarray, queries
     return np.nonzero(near)
 
 
-def _heads(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least row reachable from each."""
-    head = np.arange(n)
-    while True:
-        new = head.copy()
-        low = np.minimum(head[a], head[b])
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == head).all():
-            return head
-        head = new
-
-
 def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per input row."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
@@ -245,7 +231,7 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
         rank = np.argsort(ids)
         place = np.empty(len(ids), np.int64)
         place[rank] = np.arange(len(ids))
-        head = ids[rank][_heads(len(ids), place[a], place[b])][place]
+        head = ids[rank][heads(len(ids), place[a], place[b])][place]
         some = n_links + n_also > 0
         also = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_also[some])]), pa.int32()), pa.array(ids[q[order]]))
         return pa.table([pa.array(ids[some]), pa.array(n_links[some]), pa.array(head[some]), also], names=LINKED.fieldNames())

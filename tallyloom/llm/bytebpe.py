@@ -168,7 +168,7 @@ class Vocabulary:
     def clear(self) -> None:
         """The cache: sorted slice hashes with their ids end to end; first those of whole tokens."""
         end = self.start + self.length
-        hashed = V.span_hash(V.prefix_hash(self.bytes), self.start, end)
+        hashed = V.string_hashes(self.bytes, self.start, end)[0]
         order = np.argsort(hashed)
         self.known, self.known_at = hashed[order], order.astype(np.int64)
         self.known_n = np.ones(len(order), np.int32)
@@ -303,7 +303,7 @@ def encode_texts(t: V.Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     first = np.searchsorted(point_at, t.off[:-1])
     start = point_at[boundaries(points, first)]
     end = np.append(start[1:], len(data)).astype(np.int64)
-    hashed = V.span_hash(V.prefix_hash(data), start, end)
+    hashed = V.string_hashes(data, start, end)[0]
     _, where, back = np.unique(hashed, return_index=True, return_inverse=True)
     count, lead = vocab.encode_slices(data, hashed[where], start[where], end[where])
     ids = vocab.flat[V.ragged(lead[back], count[back])]

@@ -7,12 +7,27 @@ when a round changes no edge.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import store
 
 
+def heads(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n rows with links (a, b): the least row reachable from each."""
+    head = np.arange(n)
+    while True:
+        new = head.copy()
+        low = np.minimum(head[a], head[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == head).all():
+            return head
+        head = new
+
+
 def _mark(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     r = edges.agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 24)).alias("a"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("b")).first()

@@ -14,11 +14,12 @@ Steps
 3. In each bucket every class is compared with the bucket's hub (the class whose
    sub-keys are the most common): a row per member, not per pair.
 4. Links are confirmed on the full sets of shingles and joined to components.
-5. Members of buckets that still hold several components give their pairs across
-   components, each pair once, less those that cannot reach the threshold: by sizes,
-   and in large buckets by the number of shingles that a class alone shares with other
-   components (both are exact bounds). These are confirmed and joined too. No candidate
-   pair is left unresolved.
+5. Classes in buckets that still hold several components are dealt, with their sets, to
+   a task for each first sub-key (large sub-keys: one for each pair of blocks). A task
+   confirms every pair that meets in a table, is of two components and can reach the
+   threshold by the sizes and by the number of shingles that other components of the
+   task have (exact bounds); it returns one link for each class and local component, so
+   no pairs are written or shuffled. No candidate pair is left unresolved.
 
 Defined cases. Null or empty text, or one without words: empty set, linked with
 nothing. Null id: ``component_id`` null, kept. Rows repeated under one id: nodes
@@ -39,14 +40,17 @@ from pyspark.sql import types as T
 
 from tallyloom.llm import store
 from tallyloom.llm import vectext as V
-from tallyloom.llm.components import connected
+from tallyloom.llm.components import connected, heads
 
 TABLES_SIDE = 14
 ROWS_SIDE = 3
 #: Pairs whose estimate is lower are no candidates: at a true 0.8 and 84 minhashes, about one in 10^6.
 LEAST_ESTIMATE = 0.55
-#: Buckets above this size use the shared-shingle bound before pairs are formed.
-LARGE_BUCKET = 48
+#: Classes of a block of a sub-key, and rows of a bucket of tasks, in step 5.
+BLOCK = 2048
+BUCKET_ROWS = 512
+#: Groups of equal sets are joined to their stand-in over so many keys.
+SALTS = 16
 
 SIGNED = T.StructType(
     [
@@ -154,22 +158,104 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _of_components(k: int):
-    """(component, shingle) of each chunk of texts, once a chunk."""
-    schema = T.StructType([T.StructField("comp", T.LongType()), T.StructField("h", T.LongType())])
+PACKED = "doc_id long, n int, comp long, keys array<long>, places array<struct<slot:int,u:long,blocks:int>>, hashes binary"
+
+
+def _pack(k: int):
+    """Each class with its set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in V.chunks(batch.column(1)):
-                h, limits = shingles(t, k)
-                comp = np.repeat(batch.column(0).slice(t.first, t.rows).to_numpy(), np.diff(limits))
-                order = np.lexsort((h, comp))
-                comp, h = comp[order], h[order].view(np.int64)
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (comp[1:] != comp[:-1]) | (h[1:] != h[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(comp[new]), pa.array(h[new])], names=schema.fieldNames())
+            for t in V.chunks(batch.column(5)):
+                part = batch.slice(t.first, t.rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([x.tobytes() for x in sets(t, k)], pa.binary())], names=[*batch.schema.names[:5], "hashes"])
 
-    return run, schema
+    return run
+
+
+def linked_pairs(n: np.ndarray, comp: np.ndarray, keys: np.ndarray, slot: int, block: np.ndarray, hashes: list[np.ndarray], percent: int, side: int = TABLES_SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of different components that link and meet first at sub-key ``slot``.
+
+    If the rows are of two blocks, only pairs across the blocks are meant.
+    """
+    owner = np.repeat(np.arange(len(n)), [len(x) for x in hashes])
+    _, code = np.unique(np.concatenate(hashes), return_inverse=True)
+    low, high = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).max), np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, code, comp[owner])
+    np.maximum.at(high, code, comp[owner])
+    shared = low != high
+    some = shared[code]
+    s = np.bincount(owner[some], minlength=len(n))
+    live = np.flatnonzero(100 * s >= percent * n)
+    empty = np.zeros(0, np.int64)
+    if len(live) < 2:
+        return empty, empty
+    place = np.cumsum(shared) - 1
+    width = -(-int(shared.sum()) // 64) * 64
+    bits = np.empty((len(live), width // 64), np.uint64)
+    limits = np.searchsorted(owner[some], np.arange(len(n) + 1))
+    at = place[code[some]]
+    for a in range(0, len(live), 256):
+        rows = live[a : a + 256]
+        line = np.zeros((len(rows), width), dtype=bool)
+        for i, r in enumerate(rows):
+            line[i, at[limits[r] : limits[r + 1]]] = True
+        bits[a : a + 256] = np.packbits(line, axis=1).view(np.uint64)
+    n, comp, keys, block, s = n[live], comp[live], keys[live], block[live], s[live]
+    across = block.min() != block.max()
+    found = []
+    for a in range(0, len(live), 128):
+        i = np.arange(a, min(a + 128, len(live)))[:, None]
+        j = np.arange(len(live))[None, :]
+        can = (i < j) & (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
+        # |A & B| >= percent / (100 + percent) * (|A| + |B|) where they link, and |A & B| is at most what either shares.
+        can &= np.minimum(s[i], s[j]) * (100 + percent) >= (n[i] + n[j]) * percent
+        can &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        x, y = np.nonzero(can)
+        x += a
+        same = keys[x] == keys[y]
+        meet = same[:, slot] & ~same[:, :slot].any(1) & same[:, side:].any(1)
+        x, y = x[meet], y[meet]
+        step = max(1, (1 << 21) // bits.shape[1])
+        for z in range(0, len(x), step):
+            u, v = x[z : z + step], y[z : z + step]
+            both = np.bitwise_count(bits[u] & bits[v]).sum(1, dtype=np.int64)
+            good = 100 * both >= percent * (n[u] + n[v] - both)
+            found.append((live[u[good]], live[v[good]]))
+    if not found:
+        return empty, empty
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _across(percent: int, side: int):
+    """Links between components within a bucket of (sub-key, pair of blocks), a forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        slot, u, low, high, block, ids, n, comp = (table[c].to_numpy() for c in ("slot", "u", "low", "high", "block", "doc_id", "n", "comp"))
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        order = np.lexsort((ids, high, low, u, slot))
+        new = np.ones(len(order), dtype=bool)
+        for c in (slot, u, low, high):
+            c = c[order]
+            new[1:] &= c[1:] == c[:-1]
+        new[1:] = ~new[1:]
+        starts = [*np.flatnonzero(new).tolist(), len(order)]
+        left, right = [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            rows = order[a:b]
+            if comp[rows].min() == comp[rows].max():
+                continue
+            x, y = linked_pairs(n[rows].astype(np.int64), comp[rows], keys[rows], int(slot[rows[0]]), block[rows], [hashes[r] for r in rows], percent, side)
+            # A link for each member and local component says as much as all of its links.
+            head = heads(len(rows), x, y)
+            member = np.flatnonzero(head != np.arange(len(rows)))
+            left.append(ids[rows[member]])
+            right.append(ids[rows[head[member]]])
+        none = np.zeros(0, np.int64)
+        return pa.table([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     signed, signed_path = store.written(docs.mapInArrow(_sign(k), SIGNED), "minhash-signed")
 
     known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = known.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"]).dropDuplicates(["doc_id", "hi", "lo"])
 
     sub = reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("keys").alias("slot", "key"))
@@ -216,40 +302,39 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     # Buckets that several components still share.
     now = placed.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    inside, inside_path = store.written(now.join(mixed, "key", "left_semi").select("key", "size", "doc_id", "n", "comp", F.col("component").isNull().alias("alone")), "minhash-mixed")
-    rest = inside.groupBy("doc_id", "n", "comp", "alone").agg((F.max("size") > LARGE_BUCKET).alias("big"))
-    rest, rest_path = store.written(rest, "minhash-rest")
-
-    # Of a class alone in a large bucket: the shingles that no other component has with which it shares any bucket, large or not.
-    run, schema = _of_components(k)
-    touched = inside.join(rest.where("big").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
-    partners = inside.join(touched, "key", "left_semi").select("doc_id", "comp").distinct()
-    each = partners.join(texts, "doc_id").select("comp", "text").mapInArrow(run, schema)
-    each, each_path = store.written(each, "minhash-each")
-    only = each.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x = y").groupBy(F.col("x").alias("doc_id")).agg(F.count("*").alias("unshared"))
-    bound = F.when(F.col("big") & F.col("alone"), F.col("n") - F.coalesce("unshared", F.lit(0))).otherwise(F.col("n").cast("long"))
-    live = rest.join(only, "doc_id", "left").withColumn("s", bound).where(F.col("s") * 100 >= F.col("n") * percent)
-
-    # |A & B| >= percent / (100 + percent) * (|A| + |B|) where they link, and |A & B| is at most what either shares with others.
-    enough = lambda v, x, y: v * (100 + percent) >= (x + y) * percent
-    keyed = live.join(have.select("doc_id", "us", "vs"), "doc_id").select("doc_id", "n", "comp", "s", "us", "vs", F.explode("us").alias("u"))
-    x = keyed.select("u", F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("s").alias("s1"), F.col("us").alias("us1"), F.col("vs").alias("vs1"))
-    y = keyed.select(F.col("u").alias("w"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("s").alias("s2"), F.col("us").alias("us2"), F.col("vs").alias("vs2"))
-    # A pair that meets in some table is made once: at the least sub-key that both have.
-    meets = (F.col("u") == F.col("w")) & (F.col("a") > F.col("b")) & (F.col("c1") != F.col("c2"))
-    can = fits(F.col("n1"), F.col("n2")) & enough(F.col("s1"), F.col("n1"), F.col("n2")) & enough(F.col("s2"), F.col("n1"), F.col("n2"))
-    once = F.arrays_overlap("vs1", "vs2") & (F.array_min(F.array_intersect("us1", "us2")) == F.col("u"))
-    pairs = x.join(y, meets & can & once).select("a", "b")
-
-    second, second_path = store.written(links(pairs), "minhash-links")
+    rest = now.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    rest, rest_path = store.written(rest.join(reps.select("doc_id", "keys"), "doc_id"), "minhash-rest")
+
+    firsts = rest.select("doc_id", "comp", F.posexplode(F.slice("keys", 1, TABLES_SIDE)).alias("slot", "u"))
+    open_ = firsts.groupBy("slot", "u").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    open_ = open_.select("slot", "u", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    entry = F.struct("slot", "u", "blocks")
+    dealt = firsts.join(open_, ["slot", "u"]).groupBy("doc_id").agg(F.collect_list(entry).alias("places"))  # at most TABLES_SIDE
+    dealt = rest.join(dealt, "doc_id").join(texts, "doc_id").select("doc_id", "n", "comp", "keys", "places", "text")
+    packed, packed_path = store.written(dealt.mapInArrow(_pack(k), PACKED), "minhash-sets")
+    buckets = 1 + (packed.agg(F.sum(F.size("places"))).first()[0] or 0) // BUCKET_ROWS
+
+    own = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks")).cast("int")
+    rows = packed.select("doc_id", "n", "comp", "keys", "hashes", F.explode("places").alias("p")).select("*", "p.slot", "p.u", "p.blocks").withColumn("block", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    task = F.pmod(F.xxhash64("slot", "u", "low", "high"), F.lit(buckets)).alias("task")
+    rows = rows.select(task, "slot", "u", "low", "high", "block", "doc_id", "n", "comp", "keys", "hashes")
+    across = rows.groupBy("task").applyInArrow(_across(percent, TABLES_SIDE), _PAIR)
+
+    second, second_path = store.written(across, "minhash-links")
     comps2, comps2_path = store.written(connected(first.unionAll(second)), "minhash-comps")
 
-    members = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
+    # A group of equal sets meets its stand-in under several keys: one task would hold all copies else.
+    salt = lambda c: F.pmod(F.xxhash64(F.lit(2), c), F.lit(SALTS)).cast("int")
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    spread = classes.withColumn("salt", F.explode(F.when(F.col("copies") > 1, all_salts).otherwise(F.array(salt("rep"))))).drop("copies")
+    members = signed.select("doc_id", "n_shingles", "hi", "lo", salt("doc_id").alias("salt")).join(spread, ["hi", "lo", "n_shingles", "salt"], "left")
     # Rows repeated under one id with different texts tie their classes together.
     out = members.join(comps2.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     result, result_path = store.written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")), "minhash-result")
-    store.remove(spark, signed_path, have_path, placed_path, texts_path, first_path, comps_path, inside_path, rest_path, each_path, second_path, comps2_path)
+    store.remove(spark, signed_path, have_path, placed_path, texts_path, first_path, comps_path, rest_path, packed_path, second_path, comps2_path)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

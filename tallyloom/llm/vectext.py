@@ -1,45 +1,43 @@
-"""Arrow batches of text as flat byte arrays, and rolling hashes over them.
+"""Arrow batches of text as flat byte arrays, and hashes over them.
 
 All kernels work on one numpy array that holds the bytes of many texts end to
-end, so there is no Python loop over words. A substring's hash is a difference
-of prefix sums: ``S[i] = sum(T[byte] * B**i)`` modulo 2**64, normalised by the
-inverse power of its start and finished with a mixer.
+end, so there is no Python loop over words. Words are hashed eight bytes at a
+time by a multiply-and-shift mixer, in one or two independent lanes of 64 bits.
+Windows that slide over units (words, or the eight bytes from each place) are
+hashed by differences of prefix sums ``S[i] = sum(u * B**i)`` modulo 2**64,
+normalised by the inverse power of their start and mixed. Units are mixed values,
+never plain bytes, so that patterns of two letters do not cancel in the sums.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+#: Odd, so that they have inverses modulo 2**64; one a lane.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = _BASES[0]
 _U = np.uint64
 
 
-@lru_cache(maxsize=None)
-def byte_table(fold_case: bool) -> np.ndarray:
-    """256 random 64-bit values; with ``fold_case`` A-Z share those of a-z."""
-    t = np.random.default_rng(20240607).integers(1, 2**63, 256).astype(np.uint64) * _U(2) + _U(1)
-    if fold_case:
-        t[65:91] = t[97:123]
-    return t
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``B**i`` and ``B**-i`` for i < n, kept per worker and grown on demand."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+    if lane not in _powers or len(_powers[lane][0]) < n:
+        size, both = max(n, CHUNK_BYTES + 4096), []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+            both.append(np.multiply.accumulate(a))
+        _powers[lane] = tuple(both)
+    up, down = _powers[lane]
+    return up[:n], down[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,21 +50,61 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """Prefix sums, length ``len(data) + 1``."""
-    up, _ = powers(len(data) + 1)
-    s = np.empty(len(data) + 1, dtype=np.uint64)
-    s[0] = 0
-    np.cumsum(byte_table(fold_case)[data] * up[:-1], out=s[1:])
+def prefix(u: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Prefix sums of units, length ``len(u) + 1``."""
+    up, _ = powers(len(u) + 1, lane)
+    s = np.zeros(len(u) + 1, np.uint64)
+    np.cumsum(u * up[:-1], out=s[1:])
     return s
 
 
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each ``data[start:end]``; the length takes part."""
-    _, down = powers(len(s))
+def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the units ``start`` to ``end``; their number takes part."""
+    _, down = powers(len(s), lane)
     return mix((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+_STEPS = ((_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)), (_U(0xC2B2AE3D27D4EB4F), _U(0xA24BAED4963EE407)))
+#: Strings above this length are hashed one at a time.
+LONG_STRING = 1 << 14
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """64-bit hashes of ``data[start:end]``, a list of lanes."""
+    size = end - start
+    out = [(size.astype(np.uint64) + _U(1)) * _STEPS[k][1] for k in range(lanes)]
+    whole = np.flatnonzero(size > LONG_STRING)
+    at, left, rows = start.copy(), np.where(size > LONG_STRING, 0, size), np.arange(len(size))
+    view = eights(data)
+    rows = rows[left > 0]
+    while len(rows):
+        part = view[at[rows]] & _MASKS[np.minimum(left[rows], 8)]
+        for k in range(lanes):
+            x = (out[k][rows] ^ part) * _STEPS[k][0]
+            x ^= x >> _U(32)
+            x *= _STEPS[k][1]
+            x ^= x >> _U(29)
+            out[k][rows] = x
+        at[rows] += 8
+        left[rows] -= 8
+        rows = rows[left[rows] > 0]
+    for i in whole:
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        for k in range(lanes):
+            out[k][i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return [mix(x) for x in out]
+
+
 class Texts:
     """Some rows of a string column: ``data`` bytes, ``off`` row limits (rows + 1)."""
 
@@ -125,8 +163,11 @@ class Words:
         self.row = np.searchsorted(start, t.off)
         self.n = np.diff(self.row)
 
+    def lanes(self, t: Texts, fold_case: bool = False, lanes: int = 2) -> list[np.ndarray]:
+        return string_hashes(_LOWER[t.data] if fold_case else t.data, self.start, self.end, lanes)
+
     def hashes(self, t: Texts, fold_case: bool = False) -> np.ndarray:
-        return span_hash(prefix_hash(t.data, fold_case), self.start, self.end)
+        return self.lanes(t, fold_case, 1)[0]
 
 
 def gram_hash(w: np.ndarray, k: int) -> np.ndarray:
