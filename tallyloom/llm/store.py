@@ -7,28 +7,43 @@ executor costs a re-read, never the data.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_DIR = "/tmp/checkpoints"
+
+@lru_cache(maxsize=None)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tallyloom-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or our own where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Unset: an error on a cluster, whose
+    executors share no local folder; a local session gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or DEFAULT_DIR).rstrip("/")
+    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
+    return found.rstrip("/")
+
 
+def written(df: DataFrame, name: str, release: bool = True) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder; the reread frame and its path.
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet to the shared folder; the reread frame and its path."""
+    ``release``: the shuffle files of the stages that made the table serve nothing any more, and
+    a job of many tables would pile them up, so Spark's cleaner is asked to drop them at once
+    (it acts when the driver's JVM collects garbage; without a JVM at hand, it does in its own time).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # The stages that made the table are over: let Spark's cleaner drop their shuffle files now. The
-    # scheduler holds the last job's plan until the next one, so a job of one row comes before.
-    spark.range(1).collect()
-    spark._jvm.System.gc()
+    if release and hasattr(spark, "_jvm"):
+        # The scheduler holds the last job's plan until the next one, so a job of one row comes before.
+        spark.range(1).collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

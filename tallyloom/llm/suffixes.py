@@ -43,8 +43,10 @@ KEPT = T.StructType(
 
 def deduplicate(docs: DataFrame, threshold: int = 100, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: byte counts, removed runs, the remaining bytes (unless not wanted) and their digest."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone, _ = repeats.verdicts(docs.where("doc_id is not null"), repeats.byte_units, threshold, min(FIRST_NAME, threshold), earlier=True)
+    docs, total = repeats.identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    matched = docs.where("doc_id is not null")
+    first = repeats.run_blocks(matched, repeats.Bytes, threshold, FIRST_NAME, total, earlier=True)
+    gone, _ = repeats.verdicts(matched, first, repeats.Bytes, threshold, total, earlier=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

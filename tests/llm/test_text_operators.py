@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bytebpe, minhash, mixing, phrases, pii, quality, suffixes, tokenfile
+from tallyloom.llm import bytebpe, minhash, mixing, phrases, pii, quality, repeats, suffixes, tokenfile, vectext
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -40,8 +40,7 @@ def by_id(df):
     return out
 
 
-def test_phrases_equal_brute_force(docs):
-    rows, size = corpus(), 35
+def check_phrases(docs, rows, size=35):
     words = [WORD.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[j : j + size]) for w in words for j in range(len(w) - size + 1))
     want = Counter()
@@ -49,13 +48,12 @@ def test_phrases_equal_brute_force(docs):
         gone = {k for j in range(len(w) - size + 1) if seen[tuple(w[j : j + size])] > 1 for k in range(j, j + size)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    got = phrases.deduplicate(docs(rows, extra=True))
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
-    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
+    got = phrases.deduplicate(docs(rows, extra=True)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_suffixes_equal_brute_force(docs):
-    rows, size = corpus(), 100
+def check_suffixes(docs, rows, size=100):
     first = {}
     for i, t in rows:
         b = (t or "").encode()
@@ -76,6 +74,116 @@ def test_suffixes_equal_brute_force(docs):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def one_id_many_texts():
+    """Ids, null too, that come with several texts; copies elsewhere of one of them only."""
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    return [(None, a), (None, b), (2, a), (4, c), (4, b[:200] + c), (4, prose(24, 90)), (4, c), (6, b), (7, prose(25, 40) + " " + c), (8, prose(26, 90))]
+
+
+@pytest.mark.parametrize("rows", [corpus, one_id_many_texts])
+def test_phrases_equal_brute_force(docs, rows):
+    check_phrases(docs, rows())
+
+
+@pytest.mark.parametrize("rows", [corpus, one_id_many_texts])
+def test_suffixes_equal_brute_force(docs, rows):
+    check_suffixes(docs, rows())
+
+
+def test_many_ids_with_several_texts(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "FEW_IDS", 0)  # they are joined, not broadcast
+    check_phrases(docs, one_id_many_texts())
+    check_suffixes(docs, one_id_many_texts())
+
+
+def test_long_text_in_pieces(docs, monkeypatch):
+    """A row longer than a piece and a chunk."""
+    long = prose(31, 700_000)
+    assert len(long.encode()) > repeats.PIECE
+    inner = " ".join(long.split()[500_000:500_120])
+    rows = [(1, long), (2, inner), (3, prose(32, 100)), (4, inner + " x " + inner)]
+    got = {r.doc_id: (r.n_removed, r.n_words) for r in phrases.deduplicate(docs(rows)).collect()}
+    assert got == {1: (120, 700_000), 2: (120, 120), 3: (0, 100), 4: (240, 241)}
+    got = {r.doc_id: r.n_removed for r in suffixes.deduplicate(docs(rows)).collect()}
+    n = len(inner.encode())
+    assert got[1] == got[3] == 0 and got[2] == n and 2 * n <= got[4] <= 2 * n + 2
+
+
+def test_phrases_come_from_the_automaton(docs, monkeypatch):
+    """Nothing is removed where the automata hold no phrase."""
+    from pyspark.sql import DataFrame
+
+    written = phrases.store.written
+
+    def none_confirmed(df: DataFrame, name: str, **more):
+        return written(df.where("false") if name == "phrases-confirmed" else df, name, **more)
+
+    monkeypatch.setattr(phrases.store, "written", none_confirmed)
+    got = phrases.deduplicate(docs(corpus())).collect()
+    assert len(got) == len(corpus()) and not any(r.n_removed for r in got)
+
+
+def test_automaton_locates_every_occurrence():
+    import pyarrow as pa
+
+    t = next(vectext.chunks(pa.array(["a b c a b", "xa b  c a", "b c a b c"])))
+    w = vectext.Words(t)
+    hit = phrases.locate(phrases.compiled([b" a b ", b" b c a "]), *phrases.joined(t, w))
+    assert np.flatnonzero(hit).tolist() == [0, 1, 3, 6, 9, 11]
+    assert not phrases.locate(phrases.compiled([]), *phrases.joined(t, w)).any()
+
+
+@pytest.mark.parametrize("earlier", (True, False))
+def test_blocks_and_verdicts_equal_brute_force(earlier):
+    """Many chunks of few stretches: what chunks and tasks combine is what no combining gives."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    doc, sub, place, whole = rng.integers(0, 60, 900), rng.integers(0, 2, 900), rng.integers(0, 5, 900), rng.integers(0, 90, 900).astype(np.uint64) ** np.uint64(3)
+    more = (whole % np.uint64(7)).astype(np.uint32)
+    seen, got = repeats.Seen(), []
+    for a in range(0, 900, 30):
+        s = slice(a, a + 30)
+        name = whole[s]
+        got.append(repeats.blocks(doc[s], sub[s], place[s], name, name, more[s], 4, earlier, seen))
+    table, out = pa.Table.from_batches(got), set()
+    for b in range(4):
+        part = table.filter(pa.compute.equal(table["bucket"], b))
+        if part.num_rows:
+            v = repeats.resolve(earlier, False)(part)
+            out |= {(d, x, p) for d, x, p, k in zip(*(v[c].to_pylist() for c in v.column_names)) if k & repeats.REMOVED}
+    want = set()
+    for i in range(900):
+        same = np.flatnonzero(whole == whole[i])
+        other = any((doc[j], place[j]) < (doc[i], place[i]) for j in same) if earlier else len(same) > 1
+        if other:
+            want.add((int(doc[i]), int(sub[i]), int(place[i])))
+    assert out == want
+
+
+def thue_morse_words():
+    """Two words of 1,024 bytes that any polynomial hash modulo 2**64 takes for one."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_have_their_own_hashes(docs, spark, tmp_path):
+    import pyarrow as pa
+
+    a, b = thue_morse_words()
+    for k in (1, 2, 40):  # long strings, too
+        t = next(vectext.chunks(pa.array([f"{a * k} {b * k}"])))
+        for lane in vectext.Words(t).lanes(t):
+            assert lane[0] != lane[1]
+    rows = [(1, f"{a} x y z"), (2, f"{b} x y z")]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows)).collect()} == {1: 1, 2: 2}
+    rows = [(1, a + a), (2, b + b), (3, f"{a + a} {b + b}")]
+    tokenizer = tokenfile.cache(P.path("word_bpe_49k.json")).tokenizer
+    got = {r.doc_id: list(r.ids) for r in tokenfile.encoded(docs(rows), P.path("word_bpe_49k.json"), end_id=2).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    check_suffixes(docs, [(1, a), (2, b), (3, prose(5, 60) + a[300:700])])
+
+
 def test_near_duplicates_equal_brute_force(docs):
     rows = corpus()
     sets = {}

@@ -60,7 +60,7 @@ def test_links_equal_brute_force(spark, monkeypatch):
     label = np.array([good[i][1] for i in ids])
     near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(near, False)
-    head = annlinks._heads(len(ids), *np.nonzero(near))
+    head = annlinks.heads(len(ids), *np.nonzero(near))
     want = {i: (int(near[k].sum()), ids[head[k]]) for k, i in enumerate(ids)}
     result = annlinks.links(df)
     rows = result.collect()
