@@ -17,8 +17,10 @@ target above ``cap`` times its source's words stops there and the excess is
 shared again by weight until none is above.
 
 Null text: 0 words. Null source: a source of its own, last. A null id mixes like any
-other row; rows of equal id are ordered by their text's hash. An empty table gives
-no rows. A source without words has target 0. Extra columns are ignored.
+other row; rows of equal id are ordered by their text's hash, and equal rows are drawn
+each on its own. An empty table gives no rows. A source without words has target 0.
+Extra columns are ignored by :func:`mix` and kept by :func:`materialise`, whatever their
+names. More than ``MAX_SOURCES`` sources are refused: their list is a plan on the driver.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ from pyspark.sql import functions as F
 from tallyloom.llm import store
 
 BLOCK_WORDS = 200_000
+#: Sources that a mix may have, and up to which number their list is broadcast.
+MAX_SOURCES = 1_000_000
+FEW_SOURCES = 20_000
+#: Blocks of a source whose words are summed by one task.
+GROUP_BLOCKS = 4096
 
 
 def size_of(text: F.Column) -> F.Column:
@@ -83,6 +90,10 @@ def split_tree(counts: list[int], shards: int, seed: int = 11) -> np.ndarray:
     return out
 
 
+def row_hash(seed: int, id_col: str, text_col: str, source_col: str) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(source_col))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, shards: int = 16, block_words: int = BLOCK_WORDS, whole: bool = False, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, and
     ``draws``, an array of (epoch, shard, words) for each time the row is drawn.
@@ -94,11 +105,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
         size_of(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))).alias("h"),
+        row_hash(seed, id_col, text_col, source_col).alias("h"),
     )
     rows, _ = store.written(rows, "mix-sizes")  # ids and sizes, without texts
 
     per = sorted(rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect(), key=lambda r: (r.source is None, r.source or ""))
+    if len(per) > MAX_SOURCES:
+        raise ValueError(f"{len(per)} sources; at most {MAX_SOURCES} can be mixed")
     goal = targets([r.words for r in per], weights, cap)
     plan, counts = [], []
     for i, r in enumerate(per):
@@ -115,14 +128,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     info = spark.createDataFrame([(*p, e) for p, e in zip(plan, ends)], schema)
 
     # A row a source: the list that the plan above was made from.
-    with_plan = rows.join(F.broadcast(info), rows.source.eqNullSafe(info.source)).drop(info.source)
+    info = F.broadcast(info) if len(per) <= FEW_SOURCES else info
+    with_plan = rows.join(info, rows.source.eqNullSafe(info.source)).drop(info.source)
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks"))
     ranked = with_plan.withColumn("rank", F.pmod(block * F.col("mul") + F.col("add"), F.col("blocks")))
 
-    # Words due from each block in the last, partial epoch: a running sum over the blocks of a source.
-    in_block = ranked.groupBy("source", "rank", "rest").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    due = in_block.select("source", "rank", "words", F.least(F.col("words"), F.greatest(F.lit(0), F.col("rest") - F.coalesce(run, F.lit(0)))).alias("due"))
+    # Words due from each block in the last, partial epoch: a running sum over the blocks of a source, in two
+    # levels (groups of blocks, then blocks of a group), so that no task holds all blocks of a large source.
+    in_block = ranked.groupBy("source", "rank", "rest").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("rank") / GROUP_BLOCKS))
+    ahead = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = in_block.groupBy("source", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select(F.col("source").alias("s"), F.col("group").alias("g"), ahead(Window.partitionBy("source").orderBy("group")).alias("ahead"))
+    placed = in_block.join(groups, in_block.source.eqNullSafe(groups.s) & (in_block["group"] == groups.g))
+    run = F.col("ahead") + ahead(Window.partitionBy("source", "group").orderBy("rank"))
+    due = placed.select("source", "rank", "words", F.least(F.col("words"), F.greatest(F.lit(0), F.col("rest") - run)).alias("due"))
     due = due.select(F.col("source").alias("s"), F.col("rank").alias("k"), "due", (F.col("due") < F.col("words")).alias("partial"))
     drawn = ranked.join(due, ranked.source.eqNullSafe(due.s) & (ranked["rank"] == due.k)).drop("s", "k")
 
@@ -154,14 +173,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     return both.select("doc_id", "source", "h", "size", "source_size", "target", taken.cast("long").alias("taken"), draws.alias("draws"))
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, mixed: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw, dealt to its shard and shuffled within by a hash. Rows keep their columns; ``seed`` is the mix's."""
-    columns = docs.columns
-    drawn = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode("draws").alias("_d"))
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
-    # Equal rows of the input were drawn each on its own: one draw stands for all here, so that the join can't multiply them.
-    drawn = drawn.select("_id", "_h", "_d.epoch", "_d.shard").distinct()
-    rows = docs.withColumn("_hh", h)
-    joined = rows.join(drawn, rows[id_col].eqNullSafe(drawn._id) & (rows._hh == drawn._h))
-    return joined.repartitionByRange("shard", F.xxhash64("epoch", "_hh")).sortWithinPartitions("shard", F.xxhash64("epoch", "_hh")).select(*columns)
-
+    drawn = mixed.where("taken > 0").select(F.col("doc_id").alias("id"), "h", "draws")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), row_hash(seed, id_col, text_col, source_col).alias("h"))
+    keys = ["h"]
+    # Equal rows of the input were drawn each on its own: they are numbered on both sides, so that each meets its own draws.
+    if not mixed.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        keys = ["h", "nth"]
+        numbered = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy(by)))
+        drawn = numbered(mixed.select(F.col("doc_id").alias("id"), "h", "draws", "taken"), F.col("draws").cast("string")).where("taken > 0")
+        rows = numbered(rows, F.to_json("row"))
+    drawn = drawn.select(F.col("id").alias("of"), *keys, F.explode("draws").alias("draw"))
+    joined = rows.join(drawn, keys).where(F.col("id").eqNullSafe(F.col("of")))
+    place = [F.col("draw.shard"), F.xxhash64("draw.epoch", "h")]
+    return joined.repartitionByRange(*place).sortWithinPartitions(*place).select("row.*")

@@ -311,6 +311,69 @@ def test_mix_meets_targets(docs, spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def by_hand(spark, rows, weights=(1, 2, 3), shards=16, block_words=50, seed=11):
+    """(id, size, taken, draws) of each row by plain loops over the stated plan; only Spark's hash is borrowed."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.select("*", mixing.row_hash(seed, "doc_id", "text", "source").alias("h")).withColumn("b", F.xxhash64(F.lit(seed + 1), "h")).collect()
+    sources = sorted({r.source for r in hashed}, key=lambda x: (x is None, x or ""))
+    own = {s: [r for r in hashed if r.source == s] for s in sources}
+    size = lambda r: len(WORD.findall(r.text or ""))
+    words = [sum(map(size, own[s])) for s in sources]
+    goal, out, orders = mixing.targets(words, weights), {}, []
+    for i, s in enumerate(sources):
+        n = max(1, min(len(own[s]), -(-words[i] // block_words)))
+        epochs = int(goal[i] // words[i]) if words[i] else 0
+        rest = int(round(goal[i] - epochs * words[i]))
+        rng = np.random.default_rng([seed, i])
+        mul = next(x for x in map(int, rng.integers(1, max(2, n), 1000)) if np.gcd(x, n) == 1) if n > 1 else 1
+        add = int(rng.integers(0, n))
+        blocks = {}
+        for r in own[s]:
+            blocks.setdefault((r.b % n * mul + add) % n, []).append(r)
+        left = rest
+        for k in range(n):
+            for r in sorted(blocks.get(k, []), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0, size(r))):
+                extra = min(size(r), max(0, left))
+                left -= extra
+                out.setdefault((r.doc_id, r.text, r.source), []).append((size(r), epochs * size(r) + extra, [(e, k, size(r) if e < epochs else extra) for e in range(epochs + (extra > 0))]))
+        orders.append((s, n, epochs * n + int(np.ceil(n * (goal[i] - epochs * words[i]) / words[i])) if words[i] else 0))
+    return out, orders
+
+
+@pytest.mark.parametrize("group", (2, 4096))
+def test_mix_equals_loops(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", group)
+    rows = [(i, prose(i, 1 + i % 23), None if i % 7 == 0 else f"s{i % 4 % 3}") for i in range(150)] + [(5, None, "s0"), (None, "a b c", "s1"), (8, "", None)] + [(900, "q " * 30, "s2")] * 5
+    want, orders = by_hand(spark, rows)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=50).collect()
+    texts = Counter((r.doc_id, r.source, r.size, r.taken) for r in got)
+    assert texts == Counter((k[0], k[2], n, taken) for k, v in want.items() for n, taken, _ in v)
+    # Shards: a source's draws, epoch by epoch in block order, fill its quotas of the tree one after another.
+    ends = {s: np.cumsum(q) for (s, _, _), q in zip(orders, mixing.split_tree([c for _, _, c in orders], 16))}
+    blocks = {s: n for s, n, _ in orders}
+    shard = lambda s, e, k: min(15, int((ends[s] <= e * blocks[s] + k).sum()))
+    mine = Counter((k[0], k[2], e, shard(k[2], e, b), w) for k, v in want.items() for _, _, draws in v for e, b, w in draws)
+    assert Counter((r.doc_id, r.source, d.epoch, d.shard, d.words) for r in got for d in r.draws) == mine
+
+
+def test_materialised_rows_are_the_draws(docs):
+    rows = [(i, prose(i, 1 + i % 40)) for i in range(60)] + [(7, "same words here")] * 5 + [(None, "a b c"), (8, ""), (9, None)]
+    df = docs(rows)
+    for c in ("_id", "_h", "_d", "h", "nth", "draw", "row", "shard", "epoch"):
+        df = df.withColumn(c, F.col("lang"))
+    for seed in (11, 12, 13):
+        df = df.withColumn("source", F.when(F.col("doc_id") == 7, "s9").otherwise(F.col("source")))
+        mixed = mixing.mix(df, whole=True, seed=seed)
+        want = Counter()
+        for r in mixed.collect():
+            want[(r.doc_id, r.source, r.size)] += len([d for d in r.draws if r.taken])
+        out = mixing.materialise(df, mixed, seed=seed)
+        assert out.columns == df.columns
+        assert Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in out.collect()) == +want
+    none = df.where("false")
+    assert mixing.materialise(none, mixing.mix(none)).count() == 0
+
+
 def test_mix_targets_and_tree():
     assert mixing.targets([100, 100, 100]) == [50.0, 100.0, 150.0]
     t = mixing.targets([10, 10, 1000])
