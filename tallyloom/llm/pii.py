@@ -13,9 +13,11 @@ is not tried again):
 * ``card``   ``[0-9]([\\x20-]?[0-9])+``, 14 to 19 digits that pass Luhn
 * ``phone``  ``\\+[0-9][\\x20().0-9-]+[0-9]``, 10 to 15 digits
 
-Added kinds: ``account`` (an IBAN with valid check digits, after the cue
-``IBAN`` or two capitals and two digits) and ``login`` (user information in a
-URL, ``scheme://user:secret@``).
+Added kinds: ``account`` and ``login`` (user information in a URL,
+``scheme://user:secret@``). Accounts are IBANs with valid check digits, found from the
+cue ``IBAN`` or from two capitals and two digits that begin a word, and numbers after a cue
+of ``CUES``: from ``CUE_GAP`` characters on at most, 6 to 20 digits in groups apart by
+single spaces, hyphens or dots, whole words only.
 
 Null text: an empty text, so no spans and masked null stays null. Null ids,
 repeated rows and ties need no special care: each row is treated alone. Extra
@@ -37,12 +39,18 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone", "account", "login")
 BASE = KINDS[:4]
 
+#: Identifier cues, in lower case, whose number is an account.
+CUES = ("account", "acct", "a/c", "iban", "ssn", "social security", "passport", "tax id", "konto", "compte", "cuenta", "conto")
+CUE_GAP = 16
+
 _DIGIT = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _PHONE = frozenset(" ().0123456789-")
 _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _ALNUM = _UPPER | _DIGIT
+_LETTER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_WORD = _LETTER | _DIGIT | {"_"}
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._~%!$&'*+,;=:-")
 
 
@@ -60,8 +68,9 @@ def automaton() -> ahocorasick.Automaton:
     found.setdefault("@", []).append(("email", 0))
     for scheme in ("://",):
         found.setdefault(scheme, []).append(("login", 0))
-    for cue in ("IBAN", "iban", "Iban"):
-        found.setdefault(cue, []).append(("account", -1))
+    for cue in CUES:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+            found.setdefault(form, []).append(("account", -1))
     for word, value in found.items():
         a.add_word(word, tuple(value))
     a.make_automaton()
@@ -142,19 +151,14 @@ def _phone(t: str, a: int) -> tuple[int, int, bool] | None:
     return a, b, 10 <= sum(c in _DIGIT for c in t[a:b]) <= 15
 
 
-def _account(t: str, a: int) -> tuple[int, int] | None:
-    """An IBAN within the 12 characters after the cue: groups of four may be apart by a space."""
-    n, end = len(t), min(len(t), a + 12)
-    while a < end and not (t[a] in _UPPER and t[a + 1 : a + 2] in _UPPER and t[a + 2 : a + 3] in _DIGIT):
-        a += 1
-    if a >= end:
-        return None
-    b, got, best = a, [], None
+def _iban(t: str, a: int) -> tuple[int, int] | None:
+    """An IBAN from ``a`` on, the longest with valid check digits; groups may be apart by a space."""
+    n, b, got, best = len(t), a, [], None
     while b < n and len(got) < 34:
         if t[b] in _ALNUM:
             got.append(t[b])
             b += 1
-            if len(got) >= 15 and int("".join(str(int(c, 36)) for c in got[4:] + got[:4])) % 97 == 1 and not (b < n and t[b] in _ALNUM):
+            if len(got) >= 15 and int("".join(str(int(c, 36)) for c in got[4:] + got[:4])) % 97 == 1 and not (b < n and t[b] in _WORD):
                 best = b
         elif t[b] == " " and b + 1 < n and t[b + 1] in _ALNUM:
             b += 1
@@ -163,6 +167,29 @@ def _account(t: str, a: int) -> tuple[int, int] | None:
     return (a, best) if best else None
 
 
+def _begins_iban(t: str, a: int) -> bool:
+    return a >= 0 and t[a] in _UPPER and t[a + 1 : a + 2] in _UPPER and t[a + 2 : a + 3] in _DIGIT and t[a + 3 : a + 4] in _DIGIT and not (a and t[a - 1] in _WORD)
+
+
+def _account(t: str, a: int) -> tuple[int, int] | None:
+    """The first IBAN or number that begins a word within ``CUE_GAP`` characters after a cue."""
+    n = len(t)
+    if a < n and t[a] in _LETTER:  # the cue is part of a longer word
+        return None
+    for b in range(a, min(n, a + CUE_GAP)):
+        if t[b - 1] in _WORD:
+            continue
+        if _begins_iban(t, b) and (got := _iban(t, b)):
+            return got
+        if t[b] in _DIGIT:
+            end, digits = b, 0
+            while end < n and (t[end] in _DIGIT or (t[end] in " -." and end + 1 < n and t[end + 1] in _DIGIT)):
+                digits += t[end] in _DIGIT
+                end += 1
+            return (b, end) if 6 <= digits <= 20 and not (end < n and t[end] in _WORD) else None
+    return None
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then kind."""
     out: list[tuple[int, int, str]] = []
@@ -185,13 +212,17 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                     floor[kind] = m[1]
                     if m[2]:
                         out.append((m[0], m[1], kind))
+                # Two digits after two capitals begin an IBAN, cue or not.
+                if back == 1 and at - 2 >= floor["account"] and _begins_iban(text, at - 2) and (m := _iban(text, at - 2)):
+                    out.append((*m, "account"))
+                    floor["account"] = m[1]
             elif kind == "phone":
                 if at >= floor[kind] and (m := _phone(text, at)):
                     floor[kind] = m[1]
                     if m[2]:
                         out.append((m[0], m[1], kind))
             elif kind == "account":
-                if at >= floor[kind] and (m := _account(text, at)):
+                if at >= floor[kind] and (m := _account(text, at)) and m[0] >= floor[kind]:
                     out.append((*m, kind))
                     floor[kind] = m[1]
             else:

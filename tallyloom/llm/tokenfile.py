@@ -68,7 +68,7 @@ def _is_known_form(spec: dict) -> bool:
 
 
 class WordCache:
-    """Sorted word hashes with the words' ids end to end."""
+    """Sorted word hashes (and a second hash of each, to tell words of one hash apart) with the words' ids end to end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,8 +95,9 @@ class WordCache:
 
     def clear(self) -> None:
         self.known, self.at, self.n, self.flat = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.more = np.zeros(1, np.uint64)
 
-    def learn(self, raw: bytes, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def learn(self, raw: bytes, hashed: np.ndarray, more: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
@@ -110,6 +111,7 @@ class WordCache:
         hashed = np.concatenate([self.known, hashed])
         order = np.argsort(hashed, kind="stable")
         self.known, self.at, self.n = hashed[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.more = np.concatenate([self.more, more])[order]
 
     def look_up(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
@@ -118,14 +120,18 @@ class WordCache:
     def encode(self, t: V.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, row limits)."""
         w = V.Words(t)
-        unique, where, back = np.unique(w.hashes(t), return_index=True, return_inverse=True)
+        hashed, more = w.lanes(t)
+        unique, where, back = np.unique(hashed, return_index=True, return_inverse=True)
         at, found = self.look_up(unique)
         for _ in range(2):  # again if learning cleared the cache
             if found.all():
                 break
             new = ~found
-            self.learn(t.data.tobytes(), unique[new], w.start[where[new]], w.end[where[new]])
+            self.learn(t.data.tobytes(), unique[new], more[where[new]], w.start[where[new]], w.end[where[new]])
             at, found = self.look_up(unique)
+        if (self.more[at][back] != more).any():  # two words of one hash: without the cache
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([t.text(i).decode() for i in range(t.rows)], add_special_tokens=False)]
+            return np.array([x for r in rows for x in r], np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         n, first = self.n[at][back], self.at[at][back]
         ends = np.concatenate([[0], np.cumsum(n)])
         return self.flat[V.ragged(first, n)], ends[w.row]

@@ -24,7 +24,8 @@ def test_stages_and_run(spark, sf_dir, monkeypatch):
             assert docs.columns == columns
 
     before, after = ({r.doc_id for r in df.collect()} for df in seen["quality"])
-    assert {i for i in before if labels.get(i) == 1} <= after and not {i for i in after if labels.get(i) == 0}
+    good, bad = ({i for i in before if labels.get(i) == y} for y in (1, 0))
+    assert len(good & after) >= 0.9 * len(good) and len(bad & after) <= 0.1 * len(bad)
 
     rows = {r.doc_id: r.text for r in seen["near_dedup"][0].collect()}
     sets = {}

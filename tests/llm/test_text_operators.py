@@ -275,6 +275,105 @@ def test_pii_rows_and_masks(docs):
     assert "@c.de" not in masked[1].text and "4111" not in masked[1].text and masked[1].n_chars == len(masked[1].text)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("x DE89370400440532013000 y", ["DE89370400440532013000"]),
+        ("x DE89 3704 0044 0532 0130 00, y", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013001", []),  # check digits
+        ("XDE89370400440532013000", []),  # no word begins there
+        ("Account no. 1234-5678-90.", ["1234-5678-90"]),
+        ("SSN: 123-45-6789", ["123-45-6789"]),
+        ("passport number 123456789 and 987654321", ["123456789"]),
+        ("accounting 12345678", []),
+        ("account of the year 2024", []),
+        ("acct 123456x", []),
+        ("iban GB82 WEST 1234 5698 7654 32 iban GB82WEST12345698765432", ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]),
+    ],
+)
+def test_accounts(text, want):
+    assert [text[a:b] for a, b, k in pii.spans(text) if k == "account"] == want
+
+
+def test_long_and_empty_for_pii(docs):
+    long = "a" * 50_000 + " x@y.zz " + "1 " * 60_000 + "+1 212 555 0100"
+    got = {r.doc_id: r for r in pii.detect(docs([(1, long), (2, "")])).collect()}
+    assert (got[1].n_email, got[1].n_phone) == (1, 1)
+    assert pii.mask(docs([(1, "x")]).where("false"), chars_col="n_chars").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="  \n\tAbé'19Σİ中!.😀\u00a0e\u0301<|", max_size=40), min_size=1, max_size=6))
+def test_token_ids_equal_library(texts):
+    import pyarrow as pa
+
+    cache = tokenfile.cache(P.path("word_bpe_49k.json"))
+    got = []
+    for t in vectext.chunks(pa.array(texts)):
+        ids, limits = cache.encode(t)
+        got += [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])]
+    assert got == [cache.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_one_hash_are_encoded_without_the_cache(monkeypatch):
+    import pyarrow as pa
+
+    lanes = vectext.Words.lanes
+    monkeypatch.setattr(vectext.Words, "lanes", lambda w, t: [np.full_like(x, 5) if k == 0 else x for k, x in enumerate(lanes(w, t))])
+    cache = tokenfile.WordCache(P.path("word_bpe_49k.json"))
+    ids, limits = cache.encode(next(vectext.chunks(pa.array(["hello world", "", "world"]))))
+    assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])] == [cache.tokenizer.encode(x, add_special_tokens=False).ids for x in ("hello world", "", "world")]
+
+
+@pytest.mark.parametrize("dictionary", (True, False))
+def test_token_file_footers(docs, tmp_path, dictionary):
+    """Row groups, pages, page indexes and encodings are those asked for."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "ids")
+    rows = [(i, prose(i, 300)) for i in range(400)]
+    tokenfile.write(tokenfile.encoded(docs(rows).coalesce(1), P.path("word_bpe_49k.json"), end_id=2), path, row_group_bytes=64 << 10, page_bytes=8 << 10, page_rows=50, dictionary=dictionary)
+    groups, encodings, index = 0, set(), True
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                index &= column.has_offset_index and column.has_column_index
+                assert column.compression == "ZSTD"
+                if column.path_in_schema.startswith("ids"):
+                    encodings |= set(column.encodings)
+    assert groups > 2 and index
+    assert ("RLE_DICTIONARY" in encodings or "PLAIN_DICTIONARY" in encodings) == dictionary
+    assert dictionary or "DELTA_BINARY_PACKED" in encodings
+
+
+def test_empty_tables_of_files_and_classifier(docs, spark, tmp_path):
+    none = docs([(1, "x")]).where("false")
+    tokenfile.write(tokenfile.encoded(none, P.path("word_bpe_49k.json"), end_id=2), str(tmp_path / "e"))
+    assert tokenfile.digests(spark, str(tmp_path / "e")).count() == 0
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    machine = quality.train(none, labels)
+    assert quality.score(none, machine).count() == 0 and quality.keep(none, machine).count() == 0
+    assert minhash.deduplicate(none).count() == 0
+
+
+def test_steps_are_chosen_from_training_rows_only():
+    """The number of mini-batches depends on the rows given, and on nothing else."""
+    rng = np.random.default_rng(3)
+    rows, n = 200, 8
+    row = np.repeat(np.arange(rows), n)
+    y = (np.arange(rows) % 2).astype(float)
+    feat = rng.integers(0, 40, rows * n) + np.repeat(np.where(y > 0, 0, 30), n)
+    x = np.ones(rows * n)
+    a, b = quality.fit(row, feat, x, y), quality.fit(row, feat, x, y)
+    assert np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+    assert ((a.margins(row, feat, x, rows) > 0) == (y > 0)).mean() > 0.9
+
+
 def test_token_files(docs, spark, tmp_path):
     rows = [(4, "Hello world!"), (2, None), (9, "it's  ÉTÉ 😀 <|endoftext|>"), (None, "first"), (4, "Hello world!"), (7, prose(4, 5000)), (8, "")]
     path = str(tmp_path / "ids")
