@@ -40,6 +40,8 @@ S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_WHITE, S_TWO, S_ONE, S_FRESH = range(8)
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CACHE_SLICES = 1_500_000
 LONG_SLICE = 48
+#: Bytes of text encoded together.
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=None)
@@ -363,7 +365,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks_path)
         for batch in batches:
-            for t in V.chunks(batch.column(1)):
+            for t in V.chunks(batch.column(1), CHUNK):
                 ids, offsets, limits, decoded = checked(t, vocab)
                 lists = [pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, offsets)]
                 parts = [decoded[a:b].tobytes() for a, b in zip(t.off[:-1], t.off[1:])]
@@ -403,7 +405,7 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks_path)
         for batch in batches:
-            for t in V.chunks(batch.column(1)):
+            for t in V.chunks(batch.column(1), CHUNK):
                 ids, _, limits, decoded = checked(t, vocab)
                 ids = ids.astype("<u4")
                 rows = list(zip(limits[:-1].tolist(), limits[1:].tolist()))

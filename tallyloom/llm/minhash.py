@@ -204,8 +204,8 @@ def linked_pairs(n: np.ndarray, comp: np.ndarray, keys: np.ndarray, slot: int, b
     n, comp, keys, block, s = n[live], comp[live], keys[live], block[live], s[live]
     across = block.min() != block.max()
     found = []
-    for a in range(0, len(live), 128):
-        i = np.arange(a, min(a + 128, len(live)))[:, None]
+    for a in range(0, len(live), 32):
+        i = np.arange(a, min(a + 32, len(live)))[:, None]
         j = np.arange(len(live))[None, :]
         can = (i < j) & (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
         # |A & B| >= percent / (100 + percent) * (|A| + |B|) where they link, and |A & B| is at most what either shares.

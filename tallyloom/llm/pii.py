@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyloom.llm import vectext as V
+
 #: Kinds, in the order used for equal starts.
 KINDS = ("email", "ip", "card", "phone", "account", "login")
 BASE = KINDS[:4]
@@ -246,7 +248,7 @@ SCHEMA = T.StructType(
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     empty = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
+    for batch in V.slices(batches, 1):
         counts, sha, every = [[] for _ in BASE], [], []
         for text in batch.column(1):
             text = text.as_py()
@@ -289,7 +291,7 @@ def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = None)
     count_at = schema.fieldNames().index(chars_col) if chars_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in V.slices(batches, at):
             columns = list(batch.columns)
             new = [masked(x) if (x := v.as_py()) else x for v in columns[at]]
             columns[at] = pa.array(new, columns[at].type)

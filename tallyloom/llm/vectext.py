@@ -140,6 +140,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         a = b
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about ``limit`` bytes of text column ``at``: what is made of a run is as small."""
+    for batch in batches:
+        for t in chunks(batch.column(at), limit):
+            yield batch.slice(t.first, t.rows)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
