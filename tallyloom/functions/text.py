@@ -31,6 +31,10 @@ SECTION_RULES = (
 )
 
 
+#: White space as text is cut at it, in Spark and in SQL alike: Unicode's, and the four ASCII separators.
+WHITE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def normalized(t: Column) -> Column:
     """Lower case, only digits, Latin letters and Hangul syllables."""
     return F.regexp_replace(F.lower(t), "[^0-9a-z가-힣]", "")
@@ -86,8 +90,8 @@ def literal_count(t: Column, c: str) -> Column:
 
 
 def words(t: Column) -> Column:
-    """Words between white space."""
-    return F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
+    """Words between white space of ``WHITE``."""
+    return F.filter(F.split(t, WHITE + "+"), lambda w: w != "")
 
 
 def short_title(t: Column, most: int = 25) -> Column:

@@ -71,11 +71,13 @@ def latest_before(rows: DataFrame, prior: DataFrame, key: str, at: str, prior_at
     """As-of join, strictly backward: each row with the latest prior row of its key before it.
 
     One sort of both sides by key and time in place of a join that makes every pair: prior
-    rows come before rows of a later time only.
+    rows come before rows of a later time only. A null key finds nothing: such priors take no
+    part, and such rows are spread by a hash, so that they are no hot partition.
     """
-    p = prior.select(F.col(key).alias("_k"), F.col(prior_at).alias("_t"), F.lit(1).alias("_side"), F.struct(F.col(prior_at).alias("at"), F.col(prior_id).alias("id")).alias("_p"), F.lit(None).cast(rows.schema.simpleString()).alias("_r"))
+    p = prior.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(prior_at).alias("_t"), F.lit(1).alias("_side"), F.struct(F.col(prior_at).alias("at"), F.col(prior_id).alias("id")).alias("_p"), F.lit(None).cast(rows.schema.simpleString()).alias("_r"))
     r = rows.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.struct(*rows.columns).alias("_r"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_p.id")).rowsBetween(Window.unboundedPreceding, -1)
+    spread = F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("_t", "_r"), F.lit(1 << 20))).otherwise(-1)
+    w = Window.partitionBy("_k", spread).orderBy("_t", "_side", F.col("_p.id")).rowsBetween(Window.unboundedPreceding, -1)
     return r.unionAll(p).withColumn("prior", F.last("_p", ignorenulls=True).over(w)).where("_side = 0").select("_r.*", F.col("prior.id").alias("prior_id"), F.col("prior.at").alias("prior_at"))
 
 
@@ -115,11 +117,15 @@ def reused(rows: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, registry: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
-    """Rows whose key another id already holds in the registry."""
+    """Rows whose key another id holds in the registry too, with one such id (the smallest, or else the greatest).
+
+    A row a conflict, not a row a pair: a key that many ids share costs as many rows as it has.
+    """
     out = None
     for k in keys:
-        other = registry.select(F.col(row_id).alias("other_id"), k)
-        part = rows.join(other, k).where(F.col(row_id) != F.col("other_id")).select(row_id, "other_id", F.lit(k).alias("key"))
+        held = registry.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(row_id).alias("_low"), F.max(row_id).alias("_high"))
+        other = F.when(F.col("_low") != F.col(row_id), F.col("_low")).otherwise(F.col("_high"))
+        part = rows.join(held, k).withColumn("other_id", other).where(F.col("other_id") != F.col(row_id)).select(row_id, "other_id", F.lit(k).alias("key"))
         out = part if out is None else out.unionAll(part)
     return out.distinct()
 

@@ -90,8 +90,9 @@ def visible(posts: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
 
 
 def with_read_marks(posts: DataFrame, marks: DataFrame, post_id: str, mark_id: str) -> DataFrame:
-    """``is_read`` where a mark is the post's id or ends with ``:id``; both are one key, so an equi-join does."""
-    m = marks.select(F.element_at(F.split(mark_id, ":"), -1).alias(post_id)).distinct().withColumn("is_read", F.lit(True))
+    """``is_read`` where a mark is the post's id or ``scope:id``, with one colon; both are one key, so an equi-join does."""
+    own = F.regexp_extract(mark_id, r"^(?:[^:]*:)?([^:]+)$", 1)
+    m = marks.select(own.alias(post_id)).distinct().withColumn("is_read", F.lit(True))
     return posts.join(m, post_id, "left").withColumn("is_read", F.coalesce("is_read", F.lit(False)))
 
 
@@ -100,10 +101,10 @@ def recent_marks(marks: DataFrame, order: str, n: int = 2000) -> DataFrame:
     return marks.orderBy(F.col(order).desc()).limit(n)
 
 
-def holding_snapshot(snapshots: DataFrame, item: str = "item") -> DataFrame:
-    """For each item the first snapshot, newest first, that contains it."""
-    rows = snapshots.select("snapshot_id", F.explode("items").alias(item))
-    return rows.groupBy(item).agg(F.max("snapshot_id").alias("snapshot_id"))
+def holding_snapshot(snapshots: DataFrame, at: str, item: str = "item") -> DataFrame:
+    """For each item the first snapshot, newest first (ties: greatest id), that contains it."""
+    rows = snapshots.select("snapshot_id", at, F.explode("items").alias(item))
+    return rows.groupBy(item).agg(F.max_by("snapshot_id", F.struct(at, "snapshot_id")).alias("snapshot_id"))
 
 
 def related(df: DataFrame, links: str, sources: str) -> Column:

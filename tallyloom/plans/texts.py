@@ -39,15 +39,16 @@ def post_identities(t):
     return e.select("event_id", urls.post_identity(F.col("u")).alias("identity"), urls.post_number(F.col("i")).alias("number"), urls.strip_revision(F.col("i")).alias("stripped"))
 
 
-@query("""
-SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), '[^0-9a-z]', '', 'g') = '' AS is_blank, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_e,
- CAST(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, array_to_string(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')[1:25], ' ') AS short_title FROM documents WHERE text NOT LIKE '%' || chr(160) || '%'""")
+_WORDS = f"list_filter(regexp_split_to_array(text, '{text.WHITE}+'), lambda x: x <> '')"
+
+
+@query(f"""
+SELECT doc_id, md5(regexp_replace(lower(text), '[^0-9a-z가-힣]', '', 'g')) AS normalized, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_e,
+ CAST(len({_WORDS}) AS BIGINT) AS n_words, array_to_string({_WORDS}[1:25], ' ') AS short_title, len({_WORDS}) > 25 AS truncated FROM documents""")
 def title_scalars(t):
-    """Literal counts, words and short titles."""
+    """Normalised titles, literal counts, words and short titles."""
     c = F.col("text")
-    d = t.documents.where(~F.contains(c, F.lit(" ")))
-    ascii_only = F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    return d.select("doc_id", (text.normalized(ascii_only) == "").alias("is_blank"), text.literal_count(c, "e").cast("long").alias("n_e"), F.size(text.words(c)).cast("long").alias("n_words"), text.short_title(c).alias("short_title"))
+    return t.documents.select("doc_id", F.md5(text.normalized(c)).alias("normalized"), text.literal_count(c, "e").cast("long").alias("n_e"), F.size(text.words(c)).cast("long").alias("n_words"), text.short_title(c).alias("short_title"), text.is_truncated(c).alias("truncated"))
 
 
 @query("""
@@ -107,9 +108,9 @@ def record_texts(t):
     )
 
 
-@query("""
-SELECT conv_id, sum(n) AS n_words FROM (SELECT DISTINCT conv_id, text, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM conversations WHERE text NOT LIKE '%' || chr(160) || '%') GROUP BY conv_id""")
+@query(f"""
+SELECT conv_id, sum(n) AS n_words FROM (SELECT DISTINCT conv_id, text, len({_WORDS}) AS n FROM conversations) GROUP BY conv_id""")
 def quotation_budget(t):
     """Words in the distinct texts quoted on a page."""
-    c = t.conversations.where(~F.contains("text", F.lit(" "))).select("conv_id", "text").distinct()
+    c = t.conversations.select("conv_id", "text").distinct()
     return c.groupBy("conv_id").agg(F.sum(text.quoted_words(F.array("text"))).alias("n_words"))

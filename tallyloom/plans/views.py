@@ -57,7 +57,7 @@ def shown_posts(t):
 
 @query("""
 SELECT l_orderkey AS story, l_suppkey AS url, CAST(pos AS BIGINT) AS pos, CAST(card AS BIGINT) AS card FROM (
- SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(rel AS INT) DESC, pos, l_suppkey) AS card FROM (SELECT l_orderkey, l_suppkey, max(l_linenumber) AS pos, arg_max(l_returnflag = 'A', l_linenumber) AS rel FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2 HAVING count(*) = count(DISTINCT l_linenumber))) WHERE card <= 3""")
+ SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(rel AS INT) DESC, pos, l_suppkey) AS card FROM (SELECT l_orderkey, l_suppkey, max(l_linenumber) AS pos, max((l_linenumber, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END))[2] AS rel FROM lineitem GROUP BY 1, 2)) WHERE card <= 3""")
 def source_cards(t):
     """At most three cards a story; the last of equal URLs wins, related ones come first."""
     s = t.lineitem.select(F.col("l_orderkey").alias("story"), F.col("l_suppkey").alias("url"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_returnflag") == "A").alias("rel"))
@@ -93,11 +93,12 @@ def report_counts(t):
 
 
 @query("""
-SELECT l_partkey AS item, max(l_orderkey) AS snapshot_id FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1""")
+SELECT l_partkey AS item, arg_max(l_orderkey, (o_orderdate, l_orderkey)) AS snapshot_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def item_snapshot(t):
-    """The newest snapshot that contains each item."""
+    """The newest snapshot (by time, then id) that contains each item."""
     s = t.lineitem.groupBy(F.col("l_orderkey").alias("snapshot_id")).agg(F.collect_set("l_partkey").alias("items"))
-    return views.holding_snapshot(s)
+    taken = t.orders.select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("taken_at"))
+    return views.holding_snapshot(s.join(taken, "snapshot_id"), "taken_at")
 
 
 @query("""

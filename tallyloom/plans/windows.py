@@ -55,7 +55,7 @@ def freshness_flags(t):
 
 
 @query(f"""
-WITH w AS (SELECT CAST({_END} AS VARCHAR) AS window_end, count(*) AS n FROM events WHERE event_type = 'error' AND user_id < 5 GROUP BY 1),
+WITH w AS (SELECT CAST({_END} AS VARCHAR) AS window_end, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
 a AS (SELECT CAST(x AS VARCHAR) AS window_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 09:00:00', TIMESTAMP '2024-01-31 21:00:00', INTERVAL 12 HOURS)) AS x))
 SELECT a.window_end, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS empty_close FROM a LEFT JOIN w USING (window_end)""")
 def every_window(t):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,14 +29,16 @@ def write_editions(df: DataFrame, path: str) -> None:
 
 
 def snapshot_rows(items: DataFrame, key: str, payload: list[str], news_kind: Column) -> DataFrame:
-    """Per edition: item count, a digest over the items in order, and whether it has news.
+    """Per edition: item count, a digest of the items, and whether it has news.
 
-    Items are digested one by one; only their digests are gathered, so a group is a
-    few bytes an item.
+    The digest does not depend on the items' order: each item's SHA-256 is cut into numbers, which are summed (with map-side
+    combining, so that an edition of any size is a few numbers a task) and digested with the count.
     """
     digest = F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256)
+    number = lambda i: F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")  # noqa: E731  60 bits
     per = items.select(key, digest.alias("d"), news_kind.alias("news"))
-    return per.groupBy(key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("snapshot_sha256"), F.bool_or("news").alias("has_news"))
+    sums = [F.sum(number(i)).cast("string").alias(f"s{i}") for i in range(4)]
+    return per.groupBy(key).agg(F.count("*").alias("n_items"), *sums, F.bool_or("news").alias("has_news")).select(key, "n_items", F.sha2(F.concat_ws(" ", "n_items", "s0", "s1", "s2", "s3"), 256).alias("snapshot_sha256"), "has_news")
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -49,6 +51,46 @@ def public_columns(df: DataFrame, allowed: list[str], evidence: dict[str, Column
     return df.select(*(F.when(evidence[c], F.col(c)).alias(c) if c in evidence else F.col(c) for c in allowed))
 
 
+def event_rows(events: DataFrame, command: str, recorded: Column) -> DataFrame:
+    """Append-only events of :func:`publication.plan`: the command, its payload, its outcome and the row it superseded, as JSON."""
+    return events.select(F.lit(command).alias("command"), "*", recorded.alias("recorded_at")).withColumn("superseded", F.to_json("superseded"))
+
+
+def write_journaled(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFrame]) -> None:
+    """Several tables as one step: each is written to its own folder of the batch, in the given order, and the manifest last.
+
+    A batch without a manifest never happened: :func:`committed` doesn't see it, and writing it again replaces what a
+    lost attempt left. A batch that has one is immutable, and writing it again does nothing.
+    """
+    if batch in {r.batch for r in committed(spark, path).collect()}:
+        return
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/data/{name}/batch={batch}")
+    manifest = spark.createDataFrame([(batch, list(tables))], "batch string, tables array<string>")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{batch}")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, tables) of the batches whose manifest is there: a row each."""
+    schema = "batch string, tables array<string>"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{path}/manifest")
+
+
+def read_journaled(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table's rows of all committed batches; what an unfinished batch wrote is not read."""
+    done = [r.batch for r in committed(spark, path).collect()]  # a row a batch
+    return spark.read.option("basePath", f"{path}/data/{name}").parquet(*(f"{path}/data/{name}/batch={b}" for b in done))
+
+
+def write_publication(spark: SparkSession, roots: list[str], batch: str, stories: DataFrame, entries: DataFrame, index: DataFrame) -> None:
+    """An edition, its issues' entries and the index, data before index, into each of several trees."""
+    for root in roots:
+        write_journaled(spark, root, batch, {"stories": stories, "issues": entries, "index": index})
+
+
 def idempotent_batches(path: str):
     """A ``foreachBatch`` function that writes each batch id to its own folder, so that a rerun replaces it."""
 

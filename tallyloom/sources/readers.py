@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions import text
+
 STORY = "id string, topicKey string, category string, title string, summary array<string>, publishedAt string, url string"
 EDITION = f"id string, date string, edition string, cutoffAt string, archive boolean, stories array<struct<{STORY.replace(' string', ':string').replace(' array<string>', ':array<string>')}>>"
 
@@ -143,6 +145,28 @@ def comments(answers: DataFrame, post: str, body: str) -> DataFrame:
     return d.select(post, F.col("c.w_idx").alias("cid"), F.col("c.w_content").alias("text"), "total", F.coalesce(bad, F.lit(False)).alias("needs_verification"))
 
 
+def reconciled(rows: DataFrame, post: str, letter: str = "ㅋ") -> DataFrame:
+    """(post, verdict, n_comments, reported, k_count) of :func:`comments` rows, markup left out of the count.
+
+    ``deleted`` (a deleted or system row, or an answer that failed), ``conflict`` (an id with two counts) and ``incomplete`` (ids
+    and total differ) are errors without a count; only ``ok`` has one.
+    """
+    n = text.literal_count(visible_text(F.coalesce("text", F.lit(""))), letter).cast("long")
+    per = rows.withColumn("n", n).groupBy(post, "cid").agg(F.min("n").alias("n"), (F.min("n") != F.max("n")).alias("differs"), F.max("total").alias("total"), F.max("needs_verification").alias("bad"))
+    out = per.groupBy(post).agg(F.count("cid").alias("n_comments"), F.max("total").alias("reported"), F.max("differs").alias("differs"), F.max("bad").alias("bad"), F.sum(F.when(F.col("cid").isNotNull(), F.col("n")).otherwise(0)).alias("k"))
+    verdict = F.when(F.col("bad"), "deleted").when(F.col("differs"), "conflict").when(~F.coalesce(F.col("n_comments") == F.col("reported"), F.lit(False)), "incomplete").otherwise("ok")
+    return out.select(post, verdict.alias("verdict"), "n_comments", "reported", F.when(verdict == "ok", F.col("k")).alias("k_count"))
+
+
+def article(pages: DataFrame, row_id: str, html: str) -> DataFrame:
+    """(row, title, number, published_at) of article pages: the head's title, else the script's; the script's epoch. What isn't there is null."""
+    own = F.nullif(F.regexp_extract(html, r'(?is)<meta\s[^>]*property="og:title"[^>]*content="([^"]*)"', 1), F.lit(""))
+    assigned = lambda name: assigned_json(F.col(html), F.lit(name))
+    named = F.get_json_object(F.concat(F.lit('{"v":'), assigned("title"), F.lit("}")), "$.v")
+    epoch = F.expr("try_cast(_otime AS double)")
+    return pages.withColumn("_otime", assigned("otime")).select(row_id, F.coalesce(own, named).alias("title"), assigned("idx").alias("number"), F.timestamp_seconds(epoch).alias("published_at"))
+
+
 def ranking(pages: DataFrame, row_id: str, html: str, most: int = 10) -> DataFrame:
     """(page, rank, repo, stars_today) of a trending page's articles that have a heading link."""
     a = pages.select(row_id, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)(<article\b.*?</article>)"), F.lit(1))).alias("pos", "a"))
