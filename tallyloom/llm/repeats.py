@@ -271,9 +271,9 @@ def resolve(earlier: bool, with_edges: bool):
     return run
 
 
-def packed(lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Start, windows less one and the anchor's distance in one number."""
-    return (lo << 16) | ((hi - lo) << 8) | (anchor - lo)
+def packed(lo, hi, anchor):
+    """Start, windows less one and the anchor's distance in one number (arrays or columns)."""
+    return lo * 65536 + (hi - lo) * 256 + (anchor - lo)
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

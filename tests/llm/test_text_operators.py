@@ -53,7 +53,7 @@ def check_phrases(docs, rows, size=35):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-def check_suffixes(docs, rows, size=100):
+def check_suffixes(docs, rows, size=100, run=suffixes.deduplicate):
     first = {}
     for i, t in rows:
         b = (t or "").encode()
@@ -70,7 +70,7 @@ def check_suffixes(docs, rows, size=100):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         kept = np.frombuffer(b, np.uint8)[~gone[:-1]].tobytes()
         want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
-    got = suffixes.deduplicate(docs(rows, extra=True)).collect()
+    got = run(docs(rows, extra=True), threshold=size).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
@@ -90,6 +90,13 @@ def test_suffixes_equal_brute_force(docs, rows):
     check_suffixes(docs, rows())
 
 
+@pytest.mark.parametrize("size", (100, 37, 5))
+def test_prefix_doubling_equals_brute_force(docs, size):
+    rows = [(i, t if t is None else t[:900]) for i, t in corpus() + one_id_many_texts()]
+    check_suffixes(docs, rows, size, suffixes.by_doubling)
+    assert suffixes.by_doubling(docs(rows).where("false")).count() == 0
+
+
 def test_many_ids_with_several_texts(docs, monkeypatch):
     monkeypatch.setattr(repeats, "FEW_IDS", 0)  # they are joined, not broadcast
     check_phrases(docs, one_id_many_texts())
