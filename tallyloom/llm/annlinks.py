@@ -1,7 +1,9 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-1. Per label, centres are a hashed sample of its vectors; each vector joins the
-   shards of its ``OVERLAP`` nearest centres. Shards above ``BLOCK`` rows are dealt
+1. Per label, centres are a hashed sample of its vectors, one for ``SHARD_ROWS`` of them;
+   each vector joins the shards of its ``OVERLAP`` nearest centres. A label with more than
+   ``MAX_CENTRES`` centres is dealt in two levels: to the nearest of ``MAX_CENTRES`` coarse
+   centres at most, and there to the nearest centres. Shards above ``BLOCK`` rows are dealt
    to blocks, and each pair of blocks is a task, so a hot shard is many tasks.
 2. In each block the candidates of a vector are pruned robustly (a neighbour is
    dropped if one kept before is ``ALPHA`` times nearer to it), and the adjacency
@@ -81,6 +83,60 @@ def _assign(key: tuple[pa.Scalar, ...], vectors: pa.Table, centres: pa.Table) ->
     return pa.table([pa.array(np.full(n * m, label)), pa.array(np.full(n * m, dim), pa.int32()), pa.array(homes.reshape(-1)), vectors["vec_id"].take(rows), vectors["x"].take(rows), lists.take(rows)], names=PLACED.fieldNames())
 
 
+NEAREST = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("found", T.ArrayType(T.StructType([T.StructField("far", T.DoubleType()), T.StructField("home", T.LongType())])))])
+
+
+def _nearest(key: tuple[pa.Scalar, ...], vectors: pa.Table, centres: pa.Table) -> pa.Table:
+    """Each vector's ``OVERLAP`` nearest of a part of the centres, with minus their cosine."""
+    n = vectors.num_rows if centres.num_rows else 0
+    kind = pa.list_(pa.struct([("far", pa.float64()), ("home", pa.int64())]))
+    if not n:
+        return pa.table([pa.array([], pa.int64()), pa.array([], kind)], names=NEAREST.fieldNames())
+    ids = centres["vec_id"].to_numpy()
+    order = np.argsort(ids)
+    ids, c = ids[order], _unit(_matrix(centres["x"])[order])
+    far = -(_unit(_matrix(vectors["x"])) @ c.T)
+    near = np.argsort(far, axis=1, kind="stable")[:, :OVERLAP]
+    found = pa.StructArray.from_arrays([pa.array(np.take_along_axis(far, near, 1).reshape(-1)), pa.array(ids[near].reshape(-1))], names=["far", "home"])
+    return pa.table([vectors["vec_id"], pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * near.shape[1], pa.int32()), found)], names=NEAREST.fieldNames())
+
+
+def _dealt_twice(nodes: DataFrame, path: str, sizes: DataFrame) -> DataFrame:
+    """The rows of ``PLACED`` for labels with more than ``MAX_CENTRES`` centres: no task compares more than it would for a small label."""
+    read = lambda frame, where: nodes.sparkSession.read.schema(frame.schema).parquet(where)  # noqa: E731  a side of its own for each cogroup
+    sized = nodes.join(sizes, ["label", "dim"])
+    place = F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col("n"))
+    wanted = F.ceil(F.col("n") / SHARD_ROWS)
+    coarse = F.least(F.ceil(F.sqrt(wanted)), F.lit(MAX_CENTRES))
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    salt = F.pmod(F.xxhash64(F.lit(8), "vec_id"), salts).cast("int").alias("salt")
+    spread = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    keys = ["label", "dim", "salt"]
+
+    first = read(nodes, path).join(sizes, ["label", "dim"]).where(place < coarse).select("label", "dim", spread, "vec_id", "x")
+    near = sized.select("label", "dim", salt, "vec_id", "x").groupBy(*keys).cogroup(first.groupBy(*keys)).applyInArrow(_nearest, NEAREST)
+    near = near.select("vec_id", F.explode("found.home").alias("area"))
+    near = sized.join(near, "vec_id", "left").withColumn("area", F.coalesce("area", F.lit(0)))
+    placed, area_path = store.written(near.select("label", "dim", "area", "vec_id", "x", (place < wanted).alias("centre")), "ann-areas")
+
+    # Within an area, its vectors are dealt by number to tasks that each have all its centres.
+    area = ["label", "dim", "area"]
+    parts = placed.groupBy(*area).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.col("parts")).cast("int").alias("part")
+    here = placed.join(parts, area).select(*area, part, "vec_id", "x")
+    centres = read(placed, area_path).where("centre").join(parts, area).select(*area, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "x")
+    found = here.groupBy(*area, "part").cogroup(centres.groupBy(*area, "part")).applyInArrow(_nearest, NEAREST)
+    # At most OVERLAP areas a vector, and OVERLAP centres of each.
+    homes = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, OVERLAP)
+    best = found.groupBy("vec_id").agg(F.array_sort(F.transform(homes, lambda h: h["home"])).alias("homes"))
+    # An area without a centre of its own: its vectors share the area itself, as the home -1 - area.
+    own = placed.groupBy("vec_id").agg(F.array(F.min(-1 - F.col("area"))).alias("own"))
+    out = sized.join(own, "vec_id").join(best, "vec_id", "left").withColumn("homes", F.coalesce("homes", "own"))
+    # All lists are as long as OVERLAP, as those of small labels are; a home repeated is one home.
+    filled = F.slice(F.concat("homes", F.array_repeat(F.element_at("homes", -1), OVERLAP)), 1, OVERLAP)
+    return out.select("label", "dim", F.explode("homes").alias("shard"), "vec_id", "x", filled.alias("homes")).select(*PLACED.fieldNames())
+
+
 def robust_prune(x: np.ndarray) -> np.ndarray:
     """Neighbours of each row (unit vectors), ``DEGREE`` at most, -1 where fewer. All rows take a step together."""
     n = len(x)
@@ -166,14 +222,18 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
     nodes, path = store.written(good.select("vec_id", "v.label", "v.x", F.size("v.x").alias("dim")), "ann-nodes")
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sized = nodes.join(sizes, ["label", "dim"])
-    again = df.sparkSession.read.schema(nodes.schema).parquet(path).join(sizes, ["label", "dim"])
-    wanted = F.least(F.ceil(F.col("n") / SHARD_ROWS), F.lit(MAX_CENTRES))
+    most = SHARD_ROWS * MAX_CENTRES
+    few, many = sizes.where(F.col("n") <= most), sizes.where(F.col("n") > most)
+    sized = nodes.join(few, ["label", "dim"])
+    again = df.sparkSession.read.schema(nodes.schema).parquet(path).join(few, ["label", "dim"])
+    wanted = F.ceil(F.col("n") / SHARD_ROWS)
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     centres = again.where((F.col("n") > SHARD_ROWS) & (F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col("n")) < wanted)).select("label", "dim", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "vec_id", "x")
     dealt = sized.select("label", "dim", F.pmod(F.xxhash64(F.lit(8), "vec_id"), salts).cast("int").alias("salt"), "vec_id", "x")
     placed = dealt.groupBy("label", "dim", "salt").cogroup(centres.groupBy("label", "dim", "salt")).applyInArrow(_assign, PLACED)
-    placed, _ = store.written(placed, "ann-placed")
+    if not many.isEmpty():
+        placed = placed.unionAll(_dealt_twice(nodes, path, many))
+    placed, placed_path = store.written(placed, "ann-placed")
 
     shard = ["label", "dim", "shard"]
     parts = placed.groupBy(*shard).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -191,7 +251,7 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
 
     lists = blocked.select(*shard, "block", "vec_id", "x").groupBy(*shard, "block").applyInArrow(build, ADJACENT)
     united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists at most
-    full, _ = store.written(blocked.join(united, "vec_id"), "ann-graph")
+    full, full_path = store.written(blocked.join(united, "vec_id"), "ann-graph")
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = full.select(*shard, "block", other, "vec_id", "x", "homes", "near").select(*shard, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "x", "homes", "near")
@@ -237,6 +297,7 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
         return pa.table([pa.array(ids[some]), pa.array(n_links[some]), pa.array(head[some]), also], names=LINKED.fieldNames())
 
     found, _ = store.written(pairs.groupBy(*shard, "low", "high").applyInArrow(search, LINKED), "ann-links")
+    store.remove(df.sparkSession, path, placed_path, full_path)
     also = F.size(F.array_distinct(F.flatten(F.collect_list("also"))))
     totals = found.groupBy("vec_id").agg((F.sum("n_links") + also).alias("n_links"))
     comps = connected(found.select(F.col("vec_id").alias("a"), F.col("head").alias("b")), "ann-comps")

@@ -145,27 +145,30 @@ def _stream(size: int, buckets: int):
     return run
 
 
-def located(docs: DataFrame, size: int, total: int) -> DataFrame:
-    """The blocks of all runs around a located phrase of (doc_id, sub, text)."""
+def located(docs: DataFrame, size: int, total: int) -> tuple[DataFrame, str]:
+    """The blocks of all runs around a located phrase of (doc_id, sub, text), and the path of the confirmed phrases."""
     shards = max(1, int(total // SHARD_BYTES) + 1)
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     every = dealt.select("shard", "text").mapInArrow(_phrases(size), FOUND).groupBy("name", "shard").agg(F.sum("n").alias("n"), F.min("phrase").alias("phrase"))
-    every, _ = store.written(every, "phrases")
+    every, every_path = store.written(every, "phrases")
     confirmed = every.groupBy("name").agg(F.sum("n").alias("times")).where("times > 1").select("name")
-    wanted, _ = store.written(every.join(confirmed, "name").select("shard", "phrase"), "phrases-confirmed")
+    wanted, wanted_path = store.written(every.join(confirmed, "name").select("shard", "phrase"), "phrases-confirmed")
+    store.remove(docs.sparkSession, every_path)
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         got = list(stream(left, right))
         return pa.Table.from_batches(got) if got else repeats.no_blocks()
 
     stream = _stream(size, repeats.bucket_count(total))
-    return dealt.select("shard", "doc_id", "sub", "text").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(run, repeats.BLOCK)
+    return dealt.select("shard", "doc_id", "sub", "text").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(run, repeats.BLOCK), wanted_path
 
 
 def deduplicate(docs: DataFrame, size: int = 35, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: word counts, the kept words joined by one space (unless not wanted) and their digest."""
     named, total = repeats.identified(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text")))
-    gone, _ = repeats.verdicts(named, located(named, size, total), repeats.Words, size, total, earlier=False)
+    first, path = located(named, size, total)
+    gone, _ = repeats.verdicts(named, first, repeats.Words, size, total, earlier=False)
+    store.remove(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,8 @@
 
 Every intermediate that is read more than once is written as Parquet below the
 folder named by ``spark.checkpoint.dir``, which all executors share; a lost
-executor costs a re-read, never the data.
+executor costs a re-read, never the data. Operators delete those that their result
+does not read; :func:`clear` deletes the rest when results have been written.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders written by this process and not yet deleted.
+_live: set[str] = set()
+
+
 @lru_cache(maxsize=None)
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="tallyloom-")
@@ -40,6 +45,7 @@ def written(df: DataFrame, name: str, release: bool = True) -> tuple[DataFrame,
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _live.add(path)
     if release and hasattr(spark, "_jvm"):
         # The scheduler holds the last job's plan until the next one, so a job of one row comes before.
         spark.range(1).collect()
@@ -53,3 +59,9 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        _live.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediates of this process. Results read some of them, so first write the results that are still needed."""
+    remove(spark, *sorted(_live))

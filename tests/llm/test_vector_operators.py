@@ -50,8 +50,10 @@ def test_vp_tree_relaxed_recall(spark):
     assert len(exact & loose) >= 0.9 * len(exact)
 
 
-def test_links_equal_brute_force(spark, monkeypatch):
-    for name, value in (("SHARD_ROWS", 60), ("BLOCK", 40)):
+@pytest.mark.parametrize("most", (1024, 2))
+def test_links_equal_brute_force(spark, monkeypatch, most):
+    """With all labels in one level, and with the larger ones in two."""
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK", 40), ("MAX_CENTRES", most)):
         monkeypatch.setattr(annlinks, name, value)
     df = table(spark)
     good = {i: v for i, v in usable(df).items() if v[1] is not None}
