@@ -115,8 +115,8 @@ def phrases_occur(phrases: Column, paragraphs: Column, least: int, most: int) ->
 
 def classify_title(t: Column, rules=SAFETY_RULES) -> Column:
     """Every rule that matches, as (code, matched text)."""
-    hits = [F.when(t.rlike(p), F.struct(F.lit(c).alias("code"), F.regexp_extract(t, p, 0).alias("matched"))) for c, p in rules]
-    return F.array_compact(F.array(*hits))
+    tried = F.array(*(F.struct(F.lit(c).alias("code"), F.regexp_extract(t, p, 0).alias("matched")) for c, p in rules))
+    return F.filter(tried, lambda h: h["matched"] != "")
 
 
 def has_tag(t: Column) -> Column:

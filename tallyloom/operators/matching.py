@@ -137,11 +137,13 @@ def unique_lookup(rows: DataFrame, target: DataFrame, on: list[str]) -> DataFram
 
 
 def by_precedence(rows: DataFrame, key: str, sources: dict[str, DataFrame]) -> DataFrame:
-    """Each key with the first source that has it, else ``missing``."""
-    out = rows
-    for name, s in sources.items():
-        out = out.join(s.select(key).distinct().withColumn(f"_{name}", F.lit(name)), key, "left")
-    return out.withColumn("found_in", F.coalesce(*(F.col(f"_{n}") for n in sources), F.lit("missing"))).drop(*(f"_{n}" for n in sources))
+    """Each key with the first source that has it, else ``missing``: one aggregation of all sources' keys, and one join."""
+    names, found = F.array(*map(F.lit, sources)), None
+    for place, s in enumerate(sources.values(), 1):
+        part = s.select(key, F.lit(place).alias("_place"))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy(key).agg(F.min("_place").alias("_place"))
+    return rows.join(best, key, "left").withColumn("found_in", F.coalesce(F.element_at(names, F.col("_place")), F.lit("missing"))).drop("_place")
 
 
 def allowed_by_rules(urls: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
