@@ -182,6 +182,8 @@ def agent_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("type string, item struct<type:string,text:string,status:string>, usage map<string,long>").json(path)
 
 
-def log_failed(events: DataFrame) -> DataFrame:
-    """One row: did the log fail (a failed event, or no completion)."""
-    return events.agg((F.coalesce(F.bool_or(F.col("type").rlike(r"(^|\.)(failed|error)$")), F.lit(False)) | ~F.coalesce(F.bool_or(F.col("type") == "turn.completed"), F.lit(False))).alias("failed"))
+def log_failed(events: DataFrame, *by: str) -> DataFrame:
+    """One row (a log): did the log fail (a failed event, or no completion)."""
+    bad, done = F.bool_or(F.col("type").rlike(r"(^|\.)(failed|error)$")), F.bool_or(F.col("type") == "turn.completed")
+    failed = (F.coalesce(bad, F.lit(False)) | ~F.coalesce(done, F.lit(False))).alias("failed")
+    return events.groupBy(*by).agg(failed) if by else events.agg(failed)
