@@ -20,7 +20,8 @@ name only says which runs are compared.
 Names travel as packed blocks, one for each chunk of texts and bucket of names.
 Within a chunk, and then within a task, equal stretches are combined before the
 shuffle: one goes to the bucket of its name, the others (already decided) to buckets
-by text, so a passage that a third of all texts hold is no hot bucket.
+by text, so a passage that a third of all texts hold is no hot bucket. Nor is a phrase
+that they hold in ever other surroundings: its stretches are dealt by stretch.
 """
 
 from __future__ import annotations
@@ -136,6 +137,10 @@ BLOCK = T.StructType([T.StructField("bucket", T.LongType()), *(T.StructField(c,
 VERDICT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("place", T.LongType()), T.StructField("kind", T.IntegerType())])
 
 SINGLE, SEVERAL, DECIDED = 0, 1, 2
+#: Bits beside these: the name is known to have several stretches; the entry only says so of its name.
+KNOWN, SAYS = 4, 8
+#: Stretches of one name in a chunk from which on they are dealt by stretch.
+MANY = 64
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -161,6 +166,7 @@ class Seen:
         self.whole, self.more = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.doc, self.place, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.once = np.zeros(self.SKETCH, dtype=bool)
+        self.said: set[int] = set()
 
     def decided(self, whole: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, several: np.ndarray, earlier: bool) -> np.ndarray:
         """Which of a chunk's distinct stretches (heads, ``whole`` ascending) are settled by those sent before; the others count as sent."""
@@ -215,6 +221,19 @@ def blocks(doc: np.ndarray, sub: np.ndarray, place: np.ndarray, name: np.ndarray
     state[settled[np.cumsum(new) - 1]] = DECIDED
     head = state != DECIDED
     bucket = np.where(head, name % _U(buckets), V.mix(doc.view(np.uint64) + _U(17)) % _U(buckets)).astype(np.int64)
+    if not alone and len(doc):
+        # A name with many stretches (a common phrase in ever other surroundings) would be a hot bucket: they go to buckets
+        # by stretch, all to be compared window by window, and one entry a task tells the name's bucket.
+        named, times = np.unique(name[new], return_counts=True)
+        hot = head & np.isin(name, named[times >= MANY])
+        if hot.any():
+            tell = [i for i in np.flatnonzero(hot & new).tolist() if not (int(name[i]) in seen.said or seen.said.add(int(name[i])))]
+            bucket[hot] = (V.mix(whole[hot] + _U(29)) % _U(buckets)).astype(np.int64)
+            state[hot] |= KNOWN
+            told = (name[tell] % _U(buckets)).astype(np.int64)
+            bucket = np.concatenate([bucket, told])
+            doc, sub, place, name, whole, more = (np.concatenate([x, x[tell]]) for x in (doc, sub, place, name, whole, more))
+            state = np.concatenate([state, np.full(len(tell), SAYS, np.uint8)])
     order = np.lexsort((place, doc, bucket))
     bucket, doc, sub, place, name, whole, more, state = (x[order] for x in (bucket, doc, sub, place, name, whole, more, state))
     at, start = np.unique(bucket, return_index=True)
@@ -238,8 +257,9 @@ def resolve(earlier: bool, with_edges: bool):
         doc, sub, place = wide("doc"), wide("sub"), wide("place")
         name = name if len(name) else (whole >> _U(32)).astype(np.uint32)
         decided = state == DECIDED
+        says = name[state == SAYS]
         out = [(doc[decided], sub[decided], place[decided], np.full(int(decided.sum()), REMOVED))]
-        live = np.flatnonzero(~decided)
+        live = np.flatnonzero(~decided & (state != SAYS))
         live = live[np.lexsort((sub[live], place[live], doc[live], more[live], whole[live], name[live]))]
         name, whole, more, doc, sub, place, state = (x[live] for x in (name, whole, more, doc, sub, place, state))
         n = len(live)
@@ -255,14 +275,14 @@ def resolve(earlier: bool, with_edges: bool):
                 edge = ~removed
             else:
                 count = np.bincount(group)
-                some = np.bincount(group, state == SEVERAL) > 0
+                some = np.bincount(group, (state & 3) == SEVERAL) > 0
                 removed = ((count > 1) | some)[group]
                 edge = first
             kind = np.where(removed, REMOVED, 0)
             if with_edges:
                 of_name = np.cumsum(new_name) - 1
-                several = np.bincount(of_name, first) > 1
-                kind |= np.where(edge & several[of_name], EDGE, 0)
+                several = (np.bincount(of_name, first) > 1)[of_name] | ((state & KNOWN) != 0) | np.isin(name, says)
+                kind |= np.where(edge & several, EDGE, 0)
             some = kind > 0
             out.append((doc[some], sub[some], place[some], kind[some]))
         columns = [np.concatenate(x) for x in zip(*out)]

@@ -97,6 +97,45 @@ def test_prefix_doubling_equals_brute_force(docs, size):
     assert suffixes.by_doubling(docs(rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("earlier", (True, False))
+def test_phrase_in_many_surroundings(earlier, monkeypatch):
+    """Runs of a hot name, dealt by stretch or not, leave the same windows to be removed after both rounds."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = 600
+    doc, place = np.arange(n) // 3, rng.integers(0, 9, n) << 16
+    sub = np.zeros(n, np.int64)
+    name = rng.choice(np.array([5, 7, 11, 1 << 40], np.uint64), n)
+    whole = name * np.uint64(1000) + rng.integers(0, 120, n).astype(np.uint64)
+    more = np.zeros(n, np.uint32)
+
+    def outcome(many):
+        monkeypatch.setattr(repeats, "MANY", many)
+        seen, got = repeats.Seen(), []
+        for a in range(0, n, 100):
+            s = slice(a, a + 100)
+            got.append(repeats.blocks(doc[s], sub[s], place[s], name[s], whole[s], more[s], 4, earlier, seen))
+        table, removed, edge = pa.Table.from_batches(got), set(), set()
+        for b in range(4):
+            part = table.filter(pa.compute.equal(table["bucket"], b))
+            if part.num_rows:
+                v = repeats.resolve(earlier, True)(part).to_pydict()
+                for d, p, k in zip(v["doc_id"], v["place"], v["kind"]):
+                    (removed if k & repeats.REMOVED else edge).add((d, p))
+                    if k & repeats.EDGE:
+                        edge.add((d, p))
+        return removed, edge
+
+    plain, edges = outcome(10**6)
+    assert {(int(d), int(p)) for d, p in zip(doc, place)} >= plain | edges
+    for many in (2, 10, 20):
+        removed, edge = outcome(many)
+        # What is not decided by stretch goes on to be compared window by window.
+        assert removed <= plain and plain - removed <= edge and edges <= edge | removed
+        assert len(edge) < n
+
+
 def test_many_ids_with_several_texts(docs, monkeypatch):
     monkeypatch.setattr(repeats, "FEW_IDS", 0)  # they are joined, not broadcast
     check_phrases(docs, one_id_many_texts())
