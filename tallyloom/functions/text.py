@@ -84,6 +84,16 @@ def record_digest(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def digest_sums(digest: Column) -> list[Column]:
+    """Aggregates that stand for a multiset of SHA-256 digests in any order: sums of their parts of 60 bits, with map-side combining."""
+    return [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"digest_{i}") for i in range(4)]
+
+
+def sums_digest(count: str) -> Column:
+    """The digest of the multiset that :func:`digest_sums` stands for, and of its size."""
+    return F.sha2(F.concat_ws(" ", count, *(f"digest_{i}" for i in range(4))), 256)
+
+
 def literal_count(t: Column, c: str) -> Column:
     """Occurrences of a character as written, without Unicode folding."""
     return (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) / len(c)

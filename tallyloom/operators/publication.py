@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import times, urls
+from tallyloom.functions import text, times, urls
 from tallyloom.operators import state
 
 
@@ -113,11 +113,9 @@ def tree_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def combined_digest(digests: DataFrame, name: str = "path", digest: str = "sha256") -> DataFrame:
-    """One digest of a tree from its files' digests in order of their names, in two levels: files of a prefix of the hash, then prefixes."""
-    group = F.substring(F.sha2(name, 256), 1, 2)
-    line = F.concat_ws(" ", name, digest)
-    part = digests.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
-    return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "g", "d"))), "\n"), 256).alias("sha256"))  # 256 parts at most
+    """One digest of a tree from its files' names and digests, in whatever order they come."""
+    line = digests.select(F.sha2(F.concat_ws(" ", name, digest), 256).alias("d"))
+    return line.agg(F.count("*").alias("n"), *text.digest_sums(F.col("d"))).select(text.sums_digest("n").alias("sha256"))
 
 
 def verified_lookup(refs: DataFrame, stored: DataFrame, key: str, digest: str, content: str) -> DataFrame:

@@ -48,8 +48,8 @@ def fill_windows(found: DataFrame, start: str, end: str, window: str = "window_e
 
 
 def with_corrections(items: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
-    """Items unchanged, each with the corrections appended to it."""
-    c = corrections.groupBy(key).agg(F.array_sort(F.collect_list("correction_id")).alias("corrections"), F.count("*").alias("n_corrections"))
+    """Items unchanged, each with the number of corrections appended to it and the last of them; the log keeps all."""
+    c = corrections.groupBy(key).agg(F.max("correction_id").alias("last_correction"), F.count("*").alias("n_corrections"))
     return items.join(c, key, "left").withColumn("n_corrections", F.coalesce("n_corrections", F.lit(0)))
 
 

@@ -13,9 +13,9 @@ def entries(stories: DataFrame, issue: str, order: list[str], entry_id: str) ->
 
 
 def superseded_by(rows: DataFrame, entry_id: str, correction_of: str) -> DataFrame:
-    """Each entry with the ids of the corrections that name it, in order."""
-    fixes = rows.where(F.col(correction_of).isNotNull()).groupBy(correction_of).agg(F.array_sort(F.collect_list(entry_id)).alias("superseded_by"))
-    return rows.join(fixes.withColumnRenamed(correction_of, entry_id), entry_id, "left")
+    """Each entry with the corrections that name it: a row for each of them, one with a null for an entry that has none."""
+    fixes = rows.where(F.col(correction_of).isNotNull()).select(F.col(correction_of).alias(entry_id), F.col(entry_id).alias("superseded_by"))
+    return rows.join(fixes, entry_id, "left")
 
 
 def issue_index(rows: DataFrame, issue: str, covered: str, category: str, entry_id: str) -> DataFrame:
@@ -77,9 +77,7 @@ def run_summary(rows: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def fold_archive(rows: DataFrame, keys: list[str], archived: str, row_id: str) -> DataFrame:
-    """Archived rows fold into the first current row of their keys; without one they stay. Ids of the folded are kept."""
-    w = Window.partitionBy(*keys)
-    host = F.min(F.when(~F.col(archived), F.col(row_id))).over(w)
-    marked = rows.withColumn("host", F.when(F.col(archived), F.coalesce(host, F.col(row_id))).otherwise(F.col(row_id)))
-    folded = marked.groupBy(*keys, "host").agg(F.array_sort(F.collect_list(F.when(F.col("host") != F.col(row_id), F.col(row_id)))).alias("aliases"))
-    return folded.select(*keys, F.col("host").alias(row_id), "aliases")
+    """Archived rows fold into the first current row of their keys; without one they stay. A row each: the row it counts as, and its own id if that is another."""
+    first = rows.where(~F.col(archived)).groupBy(*keys).agg(F.min(row_id).alias("_host"))
+    host = F.when(F.col(archived), F.coalesce("_host", row_id)).otherwise(F.col(row_id))
+    return rows.join(first, keys, "left").select(*keys, host.alias("_as"), F.when(host != F.col(row_id), F.col(row_id)).alias("alias")).withColumnRenamed("_as", row_id)

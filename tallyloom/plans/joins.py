@@ -113,12 +113,11 @@ def robots_decisions(t):
 @query("""
 WITH r AS (SELECT l_orderkey AS slot, l_partkey AS issue, l_linenumber AS id, l_returnflag = 'A' AS archived FROM lineitem),
 k AS (SELECT slot, issue, id, CASE WHEN archived THEN coalesce(min(CASE WHEN NOT archived THEN id END) OVER (PARTITION BY slot), id) ELSE id END AS host FROM (SELECT slot, issue, id, archived FROM r))
-SELECT slot, host AS id, coalesce(array_to_string(list_sort(list(CASE WHEN host <> id THEN id END)), ','), '') AS aliases FROM k GROUP BY slot, host""")
+SELECT slot, host AS id, CASE WHEN host <> id THEN id END AS alias FROM k""")
 def folded_archive(t):
     """Archived rows fold into the current row of their slot; aliases are kept."""
     r = t.lineitem.select(F.col("l_orderkey").alias("slot"), F.col("l_linenumber").alias("id"), (F.col("l_returnflag") == "A").alias("archived"))
-    out = timeline.fold_archive(r, ["slot"], "archived", "id")
-    return out.select("slot", "id", F.array_join(F.transform("aliases", lambda x: x.cast("string")), ",").alias("aliases"))
+    return timeline.fold_archive(r, ["slot"], "archived", "id")
 
 
 @query("""

@@ -79,14 +79,13 @@ def visible_history(t):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN event_id - event_id % 50 END AS fix FROM events),
-f AS (SELECT fix, list_sort(list(event_id)) AS ids FROM e WHERE fix IS NOT NULL GROUP BY 1)
-SELECT e.event_id, coalesce(array_to_string(ids, ','), '') AS superseded_by FROM e LEFT JOIN f ON f.fix = e.event_id""")
+WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN event_id - event_id % 50 END AS fix FROM events)
+SELECT e.event_id, f.event_id AS superseded_by FROM e LEFT JOIN e f ON f.fix = e.event_id""")
 def corrections_applied(t):
     """Each entry with the corrections that name it."""
     fix = F.when(F.col("event_type") == "error", F.col("event_id") - F.col("event_id") % 50)
     e = timeline.superseded_by(t.events.withColumn("fix", fix).drop("superseded_by"), "event_id", "fix")
-    return e.select("event_id", F.coalesce(F.array_join(F.transform("superseded_by", lambda x: x.cast("string")), ","), F.lit("")).alias("superseded_by"))
+    return e.select("event_id", "superseded_by")
 
 
 @query("""
@@ -160,11 +159,11 @@ def derived_drift(t):
 
 
 @query("""
-SELECT c_custkey AS id, coalesce((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'), 0) AS n_corrections FROM customer""")
+SELECT c_custkey AS id, coalesce((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'), 0) AS n_corrections, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS last_correction FROM customer""")
 def items_with_corrections(t):
     """Items unchanged, with what was appended to them."""
     c = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("correction_id"))
-    return state.with_corrections(t.customer.select(F.col("c_custkey").alias("id")), c, "id").select("id", "n_corrections")
+    return state.with_corrections(t.customer.select(F.col("c_custkey").alias("id")), c, "id").select("id", "n_corrections", "last_correction")
 
 
 @query("""

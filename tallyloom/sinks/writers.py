@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
+
 
 def csv_guarded(df: DataFrame) -> DataFrame:
     """Flat text columns: nested cells as JSON, and a quote before what a spreadsheet would run as a formula."""
@@ -35,10 +37,9 @@ def snapshot_rows(items: DataFrame, key: str, payload: list[str], news_kind: Col
     combining, so that an edition of any size is a few numbers a task) and digested with the count.
     """
     digest = F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256)
-    number = lambda i: F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")  # noqa: E731  60 bits
     per = items.select(key, digest.alias("d"), news_kind.alias("news"))
-    sums = [F.sum(number(i)).cast("string").alias(f"s{i}") for i in range(4)]
-    return per.groupBy(key).agg(F.count("*").alias("n_items"), *sums, F.bool_or("news").alias("has_news")).select(key, "n_items", F.sha2(F.concat_ws(" ", "n_items", "s0", "s1", "s2", "s3"), 256).alias("snapshot_sha256"), "has_news")
+    per = per.groupBy(key).agg(F.count("*").alias("n_items"), *text.digest_sums(F.col("d")), F.bool_or("news").alias("has_news"))
+    return per.select(key, "n_items", text.sums_digest("n_items").alias("snapshot_sha256"), "has_news")
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
