@@ -31,6 +31,18 @@ SECTION_RULES = (
 )
 
 
+# Units after a number in records and in overviews; limits of an overview's phrases.
+NUMBER_UNITS = "%p|%|배|억원|조원|억달러|만달러|달러|원|명|건|곳|장|TB"
+OVERVIEW_UNITS = "%포인트|%p|%|배|조달러|억달러|달러|억원|조원|원"
+LEAD_LENGTH, PHRASE_LENGTH, MOST_PHRASES = 65, 55, 4
+PAST_PREFIX, RECORD_PREFIX = "당시 ", "주요 기록: "
+# Hosts of the two networks, and their labels.
+SOCIAL_HOSTS = {"instagram.com": "인스타", "x.com": "X", "twitter.com": "X"}
+# What readers are told of a source's scope.
+SCOPE_INSTAGRAM = "인스타 공개 인기 · 보조 자료 (한국 지역 순위 아님)"
+SCOPE_X_KOREA = "X 한국 지역 트렌드 확인"
+SCOPE_X = "X 공개 자료 · 한국 지역 트렌드 미확인"
+
 #: White space as text is cut at it, in Spark and in SQL alike: Unicode's, and the four ASCII separators.
 WHITE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -161,9 +173,10 @@ def source_names(t: Column) -> Column:
     return F.nullif(F.regexp_extract(t, r"확인:\s*(.*?)\.?$", 1), F.lit(""))
 
 
-def number_tokens(t: Column, units: str = "%p|%|배|억원|조원|억달러|만달러|달러|원|명|건|곳|장|TB", most: int = 6) -> Column:
-    """Numbers with a unit, at most ``most``, in order."""
-    return F.slice(F.regexp_extract_all(t, F.lit(rf"([+−-]?\d[\d,.]*(?:~[\d,.]+)?(?:{units}))"), F.lit(1)), 1, most)
+def number_tokens(t: Column, units: str = NUMBER_UNITS, most: int = 6) -> Column:
+    """Numbers with a unit (signed, grouped, or a range), at most ``most``, in order."""
+    number = r"[+−-]?\d[\d,.]*(?:~[\d,.]+)?"
+    return F.slice(F.regexp_extract_all(t, F.lit(f"({number}(?:{units}))"), F.lit(1)), 1, most)
 
 
 def emphasis_parts(t: Column, phrases: list[str]) -> Column:
@@ -178,21 +191,32 @@ def emphasis_parts(t: Column, phrases: list[str]) -> Column:
 
 
 def overview_phrases(paragraph: Column, candidates: Column, editorial: Column) -> Column:
-    """Phrases to stress: the editor's if they occur, else a short first sentence, short candidates and number tokens."""
-    exact = F.filter(editorial, lambda p: F.contains(paragraph, p))
-    sentence = first_sentence(paragraph)
-    lead = F.when((F.length(sentence) <= 65) & ~paragraph.startswith("당시 "), F.array(F.regexp_replace(sentence, "^주요 기록: ", ""))).otherwise(F.array().cast("array<string>"))
-    near = F.slice(F.filter(candidates, lambda p: (F.length(p) <= 55) & F.contains(paragraph, p)), 1, 4)
-    numbers = number_tokens(paragraph, "%포인트|%p|%|배|조달러|억달러|달러|억원|조원|원", 4)
-    return F.filter(F.array_distinct(F.when(F.size(exact) > 0, exact).otherwise(F.concat(lead, near, numbers))), lambda p: p != "")
+    """Phrases of a paragraph to stress: those of the editor that it holds; failing them, what it offers itself.
+
+    That is its opening sentence where short and not of the past, short candidates that it holds, and its numbers. Candidates and
+    offers are one list of (phrase, allowed), filtered once, so each rule stands by its phrase.
+    """
+    held = lambda phrases: F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: F.contains(paragraph, p) & (p != ""))
+    opening = F.regexp_extract(paragraph, r"^(?s)(.*?[.!?。])(?:\s|$)", 1)
+    opening = F.when(opening == "", paragraph).otherwise(opening)
+    short = F.filter(held(candidates), lambda p: F.length(p) <= PHRASE_LENGTH)
+    stated = number_tokens(paragraph, OVERVIEW_UNITS, MOST_PHRASES)
+    offer = lambda phrase, allowed: F.struct(phrase.alias("phrase"), allowed.alias("allowed"))
+    yes = F.lit(True)
+    lead = offer(F.regexp_replace(opening, "^" + RECORD_PREFIX, ""), (F.length(opening) <= LEAD_LENGTH) & ~paragraph.startswith(PAST_PREFIX))
+    offers = F.concat(F.array(lead), F.transform(F.slice(short, 1, MOST_PHRASES), lambda p: offer(p, yes)), F.transform(stated, lambda p: offer(p, yes)))
+    own = F.transform(F.filter(offers, lambda o: o["allowed"] & (o["phrase"] != "")), lambda o: o["phrase"])
+    return F.array_distinct(F.when(F.size(held(editorial)) > 0, held(editorial)).otherwise(own))
 
 
 def social_links(t: Column) -> Column:
-    """Distinct links to two networks in a text, as (label, url), trailing punctuation dropped."""
-    pattern = r"(?i)(?:^|[^\w@.-])((?:https?://)?(?:[a-z0-9-]+\.)*(?:instagram|x|twitter)\.com(?:[/?#][^\s<>\"'`]*)?)(?=$|[^\w.-])"
-    found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;!)\]}]+$", ""))
-    full = F.array_distinct(F.transform(found, lambda u: F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("https://"), u))))
-    return F.transform(full, lambda u: F.struct(F.when(F.lower(u).rlike(r"^https?://([a-z0-9-]+\.)*instagram\.com"), F.lit("인스타")).otherwise(F.lit("X")).alias("label"), u.alias("url")))
+    """Distinct links to the hosts of ``SOCIAL_HOSTS`` in a text, as (label, url): words are cut at white space and brackets, and judged by their host."""
+    tokens = F.split(F.coalesce(t, F.lit("")), WHITE[:-1] + r"<>\"'`]+")
+    bare = F.transform(tokens, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[(\[{]+", ""), r"[.,;!)\]}]+$", ""))
+    full = F.transform(bare, lambda w: F.when(w.rlike("(?i)^https?://"), w).otherwise(F.concat(F.lit("https://"), w)))
+    host = lambda u: F.lower(F.regexp_extract(u, r"^(?i:https?)://(?:[a-zA-Z0-9-]+\.)*?((?:instagram|x|twitter)\.com)(?=$|[/?#])", 1))
+    label = F.create_map(*(F.lit(v) for pair in SOCIAL_HOSTS.items() for v in pair))
+    return F.transform(F.array_distinct(F.filter(full, lambda u: host(u) != "")), lambda u: F.struct(label[host(u)].alias("label"), u.alias("url")))
 
 
 def joined_codes(codes: Column) -> Column:
@@ -221,14 +245,10 @@ def first_filled(*values: Column) -> Column:
 
 
 def source_scope(platform: Column, region: Column, evidence: Column, name: Column) -> Column:
-    """A source's scope as shown to readers."""
-    korean = (region == "KR") & evidence.isNotNull() & (evidence != "")
-    return (
-        F.when(platform == "instagram", "인스타 공개 인기 · 보조 자료 (한국 지역 순위 아님)")
-        .when((platform == "x") & F.coalesce(korean, F.lit(False)), "X 한국 지역 트렌드 확인")
-        .when(platform == "x", "X 공개 자료 · 한국 지역 트렌드 미확인")
-        .otherwise(name)
-    )
+    """A source's scope as shown to readers; a Korean trend counts only with its evidence."""
+    proven = F.coalesce((region == "KR") & (evidence != ""), F.lit(False))
+    on_x = F.when(proven, SCOPE_X_KOREA).otherwise(SCOPE_X)
+    return F.when(platform == "x", on_x).when(platform == "instagram", SCOPE_INSTAGRAM).otherwise(name)
 
 
 def prompt_text(title: Column, lines: dict[str, Column]) -> Column:

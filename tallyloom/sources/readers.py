@@ -100,9 +100,13 @@ def page_title(page: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
+# Titles of pages that ask for proof.
+CHALLENGE_TITLES = r"(?i)just a moment|attention required|access denied|captcha|verify.*human|403 forbidden"
+
+
 def is_challenge(page: Column) -> Column:
     """A page that asks for proof in place of its content."""
-    return F.coalesce(page_title(page).rlike(r"(?i)just a moment|attention required|access denied|captcha|verify.*human|403 forbidden"), F.lit(False))
+    return F.coalesce(page_title(page).rlike(CHALLENGE_TITLES), F.lit(False))
 
 
 def links(page: Column) -> Column:
