@@ -159,10 +159,6 @@ def section(category: Column, rules=SECTION_RULES) -> Column:
     return out
 
 
-def first_sentence(t: Column) -> Column:
-    return F.split(t, r"(?<=[.!?。])\s", 2)[0]
-
-
 def bracket_prefix(t: Column) -> Column:
     """The text without a leading ``[tag]`` and a trailing source note."""
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]+\]\s*", ""), r"\s*확인:.*$", ""))
