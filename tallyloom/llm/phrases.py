@@ -72,7 +72,7 @@ def _phrases(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards = batch.column(0).to_numpy()
-            for t in V.chunks(batch.column(1)):
+            for t in V.chunks(batch.column(1), repeats.CHUNK):
                 w = V.Words(t)
                 out, lead = joined(t, w)
                 for u, limits, base in repeats.pieces(w.hashes(t), w.row, size):
@@ -130,7 +130,7 @@ def _stream(size: int, buckets: int):
         automaton, seen = compiled(phrases["phrase"].to_pylist()), repeats.Seen()
         for batch in docs.to_batches():
             ids, subs = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
-            for t in V.chunks(batch.column("text")):
+            for t in V.chunks(batch.column("text"), repeats.CHUNK):
                 w = V.Words(t)
                 hit = locate(automaton, *joined(t, w))
                 if not hit.any():

@@ -37,9 +37,11 @@ from pyspark.sql import types as T
 from tallyloom.llm import store
 from tallyloom.llm import vectext as V
 
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Text whose runs are found and packed together: some twenty numbers a byte are held.
+CHUNK = 1 << 20
 BUCKET_BYTES = 4 << 20
-WINDOWS = 1 << 20
+WINDOWS = 1 << 19
 REMOVED, EDGE = 1, 2
 
 _U = np.uint64
@@ -334,7 +336,7 @@ def run_blocks(docs: DataFrame, kind: type, size: int, k: int, total: int, earli
         seen = Seen()
         for batch in batches:
             ids, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for t in V.chunks(batch.column(2)):
+            for t in V.chunks(batch.column(2), CHUNK):
                 for u, limits, base in pieces(*kind.units(t), n):
                     row, lo, hi, anchor, name, whole, more = runs(u, limits, n, k)
                     if len(row):
@@ -359,7 +361,7 @@ def verdicts(docs: DataFrame, first: DataFrame, kind: type, size: int, total: in
         seen = Seen()
         for batch in batches:
             ids, subs, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for t in V.chunks(batch.column(2)):
+            for t in V.chunks(batch.column(2), CHUNK):
                 part = lists.slice(t.first, t.rows)
                 place = part.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(t.rows), part.value_lengths().to_numpy(zero_copy_only=False))

@@ -30,7 +30,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``B**i`` and ``B**-i`` for i < n, kept per worker and grown on demand."""
     if lane not in _powers or len(_powers[lane][0]) < n:
-        size, both = max(n, CHUNK_BYTES + 4096), []
+        size, both = max(n, (1 << 20) + 4096), []
         for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
