@@ -281,11 +281,11 @@ def earlier_entries(t):
 
 
 @query("""
-SELECT c_custkey AS id, c_nationkey AS topic, CAST(c_custkey % 3 AS BIGINT) AS revision FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT c_custkey AS id, c_nationkey AS topic, CAST(c_custkey % 3 AS BIGINT) AS revision FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def registry_additions(t):
     """Registry rows (identity and revision) that aren't stored yet."""
     items = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("topic"), (F.col("c_custkey") % 3).alias("revision"), "c_name")
-    return writers.append_new(t.orders.select(F.col("o_custkey").alias("id")), views.registry(items), "id")
+    return writers.append_new(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), views.registry(items), "id")
 
 
 @query("""

@@ -47,7 +47,7 @@ def agent_logs(t):
 
 @query("""
 SELECT p_partkey AS id, 'image:' || CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '-' END || ',video:-,embed:-' AS media, p_size % 3 <> 0 AS aligned, CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS places,
- CASE WHEN p_size % 4 = 0 THEN 6 WHEN p_size % 4 = 1 THEN 12 END AS source_total, 'e' || p_size || '/s' || p_partkey AS reference FROM part""")
+ CAST(CASE WHEN p_size % 4 = 0 THEN 6 WHEN p_size % 4 = 1 THEN 12 END AS BIGINT) AS source_total, 'e' || p_size || '/s' || p_partkey AS reference FROM part""")
 def projections(t):
     """Media by type, lists side by side, totals of sources, references."""
     k, s = F.col("p_partkey"), F.col("p_size")
