@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import annlinks, bytebpe, minhash, mixing, phrases, pii, quality, store, suffixes, tokenfile, vptree
+from tallyloom.llm import annlinks, bytebpe, dialogue, minhash, mixing, phrases, pii, quality, store, suffixes, tokenfile, urlfilter, vectorcodes, vptree
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -60,4 +60,20 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annlinks.links(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vp_tree, op2_phrase_dedup, op3_minhash, op4_byte_bpe, op5_suffix_dedup, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality, op10_embedding_links)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.errors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.digests(dialogue.damaged(_read(spark, sf_dir, "conversations")))
+
+
+#: The contract's rules.
+URL_RULES = "SELECT * FROM VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS r(host, path, verdict)"
+
+
+def op13_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), spark.sql(URL_RULES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vp_tree, op2_phrase_dedup, op3_minhash, op4_byte_bpe, op5_suffix_dedup, op6_pii_anchors, op7_source_mix, op8_token_files, op9_quality, op10_embedding_links, op11_vector_codes, op12_dialogue_repair, op13_url_cascade)}
