@@ -46,6 +46,9 @@ SCOPE_X = "X 공개 자료 · 한국 지역 트렌드 미확인"
 #: White space as text is cut at it, in Spark and in SQL alike: Unicode's, and the four ASCII separators.
 WHITE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: White space as scripts of pages know it.
+PAGE_WHITE = r"[\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
 
 def normalized(t: Column) -> Column:
     """Lower case, only digits, Latin letters and Hangul syllables."""
@@ -131,8 +134,9 @@ def quoted_words(texts: Column) -> Column:
 
 
 def phrases_occur(phrases: Column, paragraphs: Column, least: int, most: int) -> Column:
-    """Between ``least`` and ``most`` phrases, each within some paragraph."""
-    return F.size(phrases).between(least, most) & F.forall(phrases, lambda p: F.exists(paragraphs, lambda t: F.contains(t, p)))
+    """Between ``least`` and ``most`` phrases, each within some paragraph, and none of them blank."""
+    filled = lambda p: p.rlike("[^" + WHITE[1:])
+    return F.size(phrases).between(least, most) & F.forall(phrases, lambda p: filled(p) & F.exists(paragraphs, lambda t: F.contains(t, p)))
 
 
 def classify_title(t: Column, rules=SAFETY_RULES) -> Column:
@@ -169,9 +173,12 @@ def source_names(t: Column) -> Column:
     return F.nullif(F.regexp_extract(t, r"확인:\s*(.*?)\.?$", 1), F.lit(""))
 
 
-def number_tokens(t: Column, units: str = NUMBER_UNITS, most: int = 6) -> Column:
-    """Numbers with a unit (signed, grouped, or a range), at most ``most``, in order."""
-    number = r"[+−-]?\d[\d,.]*(?:~[\d,.]+)?"
+def number_tokens(t: Column, units: str = NUMBER_UNITS, most: int = 6, ranges: bool = True) -> Column:
+    """Numbers with a unit, at most ``most``, in order: a sign or none, digits grouped by commas and points, the unit.
+
+    With ``ranges`` a number may end in a tilde and a second one; without, only the number next to the unit counts."""
+    sign, digits = "[+−-]?", r"\d[\d,.]*"
+    number = sign + digits + (r"(?:~[\d,.]+)?" if ranges else "")
     return F.slice(F.regexp_extract_all(t, F.lit(f"({number}(?:{units}))"), F.lit(1)), 1, most)
 
 
@@ -189,30 +196,48 @@ def emphasis_parts(t: Column, phrases: list[str]) -> Column:
 def overview_phrases(paragraph: Column, candidates: Column, editorial: Column) -> Column:
     """Phrases of a paragraph to stress: those of the editor that it holds; failing them, what it offers itself.
 
-    That is its opening sentence where short and not of the past, short candidates that it holds, and its numbers. Candidates and
-    offers are one list of (phrase, allowed), filtered once, so each rule stands by its phrase.
+    That is its opening sentence where short and not of the past, short candidates that it holds, and its numbers (of a range, the
+    last). Candidates and offers are one list of (phrase, allowed), filtered once, so each rule stands by its phrase. A blank phrase takes a
+    place among those chosen, and is dropped at last.
     """
-    held = lambda phrases: F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: F.contains(paragraph, p) & (p != ""))
-    opening = F.regexp_extract(paragraph, r"^(?s)(.*?[.!?。])(?:\s|$)", 1)
+    held = lambda phrases: F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: F.contains(paragraph, p))
+    opening = F.regexp_extract(paragraph, r"^(?s)(.*?[.!?。])" + PAGE_WHITE, 1)
     opening = F.when(opening == "", paragraph).otherwise(opening)
     short = F.filter(held(candidates), lambda p: F.length(p) <= PHRASE_LENGTH)
-    stated = number_tokens(paragraph, OVERVIEW_UNITS, MOST_PHRASES)
+    stated = number_tokens(paragraph, OVERVIEW_UNITS, MOST_PHRASES, ranges=False)
     offer = lambda phrase, allowed: F.struct(phrase.alias("phrase"), allowed.alias("allowed"))
     yes = F.lit(True)
     lead = offer(F.regexp_replace(opening, "^" + RECORD_PREFIX, ""), (F.length(opening) <= LEAD_LENGTH) & ~paragraph.startswith(PAST_PREFIX))
     offers = F.concat(F.array(lead), F.transform(F.slice(short, 1, MOST_PHRASES), lambda p: offer(p, yes)), F.transform(stated, lambda p: offer(p, yes)))
-    own = F.transform(F.filter(offers, lambda o: o["allowed"] & (o["phrase"] != "")), lambda o: o["phrase"])
-    return F.array_distinct(F.when(F.size(held(editorial)) > 0, held(editorial)).otherwise(own))
+    own = F.transform(F.filter(offers, lambda o: o["allowed"]), lambda o: o["phrase"])
+    return F.array_distinct(F.filter(F.when(F.size(held(editorial)) > 0, held(editorial)).otherwise(own), lambda p: p != ""))
+
+
+def _escaped(t: Column) -> Column:
+    """Characters beyond ASCII percent-encoded, the others as they are."""
+    points = F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1))
+    return F.array_join(F.transform(points, lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)), "")
 
 
 def social_links(t: Column) -> Column:
-    """Distinct links to the hosts of ``SOCIAL_HOSTS`` in a text, as (label, url): words are cut at white space and brackets, and judged by their host."""
-    tokens = F.split(F.coalesce(t, F.lit("")), WHITE[:-1] + r"<>\"'`]+")
-    bare = F.transform(tokens, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[(\[{]+", ""), r"[.,;!)\]}]+$", ""))
-    full = F.transform(bare, lambda w: F.when(w.rlike("(?i)^https?://"), w).otherwise(F.concat(F.lit("https://"), w)))
-    host = lambda u: F.lower(F.regexp_extract(u, r"^(?i:https?)://(?:[a-zA-Z0-9-]+\.)*?((?:instagram|x|twitter)\.com)(?=$|[/?#])", 1))
+    """Distinct links to the hosts of ``SOCIAL_HOSTS`` and their subdomains in a text, as (label, url), in order.
+
+    A link begins at its scheme or its host, wherever the sign before is none that a longer host, an address or a word would have there:
+    so after a colon, within brackets, or after Hangul. It ends at the host, or with what follows it up to white space, a quote or an angle
+    bracket, less closing signs. URLs have their scheme and host in lower case, a path of at least a slash, and escapes for what isn't ASCII.
+    """
+    inside = "[A-Za-z0-9_.-]"
     label = F.create_map(*(F.lit(v) for pair in SOCIAL_HOSTS.items() for v in pair))
-    return F.transform(F.array_distinct(F.filter(full, lambda u: host(u) != "")), lambda u: F.struct(label[host(u)].alias("label"), u.alias("url")))
+    hosts = "|".join(h.replace(".", "[.]") for h in SOCIAL_HOSTS)
+    # A host has no more labels, and a label no more signs; so no text, however long, makes a deep search.
+    host = rf"(?:[a-z0-9-]{{1,63}}\.){{0,126}}(?:{hosts})"
+    rest = rf"[/?#][^{PAGE_WHITE[1:-1]}<>\"'`]*"
+    found = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(rf"(?i)(?<![A-Za-z0-9_@.-])((?:https?://)?{host}(?:{rest})?)(?!{inside})"), F.lit(1))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, r"[.,;!)\]}]+$", ""))
+    part = lambda w, n: F.regexp_extract(w, rf"(?i)^(?:(https?)://)?([^/?#]*)/?([?#]?(?s).*)$", n)
+    link = lambda w: F.concat(F.coalesce(F.nullif(F.lower(part(w, 1)), F.lit("")), F.lit("https")), F.lit("://"), F.lower(part(w, 2)), F.lit("/"), _escaped(part(w, 3)))
+    name = lambda w: label[F.regexp_extract(F.lower(part(w, 2)), f"({hosts})$", 1)]
+    return F.array_distinct(F.transform(bare, lambda w: F.struct(name(w).alias("label"), link(w).alias("url"))))
 
 
 def joined_codes(codes: Column) -> Column:

@@ -114,3 +114,41 @@ def quotation_budget(t):
     """Words in the distinct texts quoted on a page."""
     c = t.conversations.select("conv_id", "text").distinct()
     return c.groupBy("conv_id").agg(F.sum(text.quoted_words(F.array("text"))).alias("n_words"))
+
+
+_SIGNS = (" ", ":", "(", "[x](", "링크", "_", "@", ".", "-", "a", '"', ">", "/", ",", "HTTPS://", "me@")
+_ENDS = ("", ")", ".", "!)]", '"', "<b>", " ", "x", "-", ".kr", "。", ",")
+
+
+@query(f"""
+WITH u AS (SELECT page_id, 'See' || [{", ".join(f"'{s}'" for s in _SIGNS)}][1 + page_id % {len(_SIGNS)}] || CASE WHEN page_id % 5 = 0 THEN 'http://' WHEN page_id % 5 = 1 THEN 'www.' ELSE '' END || CASE regexp_extract(url, 'example[.]([a-z]+)', 1) WHEN 'com' THEN 'instagram.com' WHEN 'net' THEN 'X.com' ELSE 'twitter.com' END
+ || CASE WHEN page_id % 7 = 0 THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) END || [{", ".join(f"'{s}'" for s in _ENDS)}][1 + page_id % {len(_ENDS)}] AS t FROM pages),
+f AS (SELECT page_id, t, rtrim(regexp_extract(t, '(?i)(?:^|[^0-9A-Za-z_@.-])((?:https?://)?(?:[a-z0-9-]+[.])*(?:instagram|x|twitter)[.]com(?:[/?#][^ <>"''`]*)?)(?:$|[^0-9A-Za-z_.-])', 1), '.,;!)]}}') AS w FROM u),
+s AS (SELECT *, CASE WHEN regexp_matches(w, '(?i)^https?://') THEN lower(regexp_extract(w, '^[^:]*')) ELSE 'https' END AS scheme, regexp_extract(w, '(?i)^(?:https?://)?([^/?#]*)(.*)$', 1) AS host, regexp_extract(w, '(?i)^(?:https?://)?([^/?#]*)(.*)$', 2) AS rest FROM f)
+SELECT page_id, t AS said, CASE WHEN w = '' THEN '' ELSE CASE WHEN ends_with(lower(host), 'instagram.com') THEN '인스타' ELSE 'X' END || ' ' || scheme || '://' || lower(host) || CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END || replace(rest, '。', '%E3%80%82') END AS links FROM s""")
+def social_marks(t):
+    """Links to two networks after and before signs of each kind; hosts and paths come from the pages' URLs."""
+    k, url = F.col("page_id"), F.col("url")
+    one = lambda signs: F.element_at(F.array(*map(F.lit, signs)), (k % len(signs) + 1).cast("int"))
+    tld = F.regexp_extract(url, "example[.]([a-z]+)", 1)
+    host = F.when(tld == "com", "instagram.com").when(tld == "net", "X.com").otherwise("twitter.com")
+    lead = F.when(k % 5 == 0, "http://").when(k % 5 == 1, "www.").otherwise("")
+    said = F.concat(F.lit("See"), one(_SIGNS), lead, host, F.when(k % 7 == 0, "").otherwise(F.regexp_extract(url, "^[a-z]+://[^/?#]*(.*)$", 1)), one(_ENDS))
+    links = F.array_join(F.transform(text.social_links(F.col("said")), lambda x: F.concat_ws(" ", x["label"], x["url"])), ";")
+    return t.pages.select("page_id", said.alias("said")).select("page_id", "said", links.alias("links"))
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, text || ' ' || turn || '~' || conv_id % 90 || '% 그리고 +' || conv_id || '억달러' AS t, CASE WHEN conv_id % 4 = 0 THEN ['', 'absent', left(text, 12)] ELSE ['absent'] END AS own, [left(text, 20), '', 'absent'] AS near FROM conversations),
+s AS (SELECT *, regexp_extract(t, '^(?s)(.*?[.!?。])[ \n\t\r]', 1) AS first FROM c),
+o AS (SELECT *, CASE WHEN first = '' THEN t ELSE first END AS opening FROM s)
+SELECT conv_id, turn, len(own) BETWEEN 1 AND 6 AND len(list_filter(own, lambda p: trim(p) = '' OR NOT contains(t, p))) = 0 AS occur,
+ array_to_string(CASE WHEN conv_id % 4 = 0 THEN list_filter([own[3]], lambda p: p <> '') ELSE
+ list_filter(list_concat(CASE WHEN length(opening) <= {text.LEAD_LENGTH} THEN [opening] ELSE [] END, CASE WHEN near[1] = opening AND length(opening) <= {text.LEAD_LENGTH} THEN [] ELSE [near[1]] END, [(conv_id % 90) || '%', '+' || conv_id || '억달러']), lambda p: p <> '') END, '|') AS phrases FROM o""")
+def stressed_phrases(t):
+    """Phrases that an overview stresses: the editor's, else its own; ranges, blanks and absent phrases among them."""
+    k = F.col("conv_id")
+    said = F.concat("text", F.lit(" "), "turn", F.lit("~"), k % 90, F.lit("% 그리고 +"), k, F.lit("억달러"))
+    own = F.when(k % 4 == 0, F.array(F.lit(""), F.lit("absent"), F.substring("text", 1, 12))).otherwise(F.array(F.lit("absent")))
+    c = t.conversations.select("conv_id", "turn", said.alias("t"), own.alias("own"), F.array(F.substring("text", 1, 20), F.lit(""), F.lit("absent")).alias("near"))
+    return c.select("conv_id", "turn", text.phrases_occur(F.col("own"), F.array("t"), 1, 6).alias("occur"), F.array_join(text.overview_phrases(F.col("t"), F.col("near"), F.col("own")), "|").alias("phrases"))

@@ -168,3 +168,29 @@ def test_pages(spark):
     art = '<article><h2><a href="/o/r">x</a></h2> 1,234 stars today</article><article>none</article>'
     df = spark.createDataFrame([(1, art)], "page long, html string")
     assert [(r.rank, r.repo, r.stars_today) for r in readers.ranking(df, "page", "html").collect()] == [(1, "o/r", 1234)]
+
+
+def test_social_links_by_the_signs_around_them(spark):
+    """Any sign but a word's, an at-sign, a dot or a hyphen may stand before a link; a host goes on over word signs, dots and hyphens."""
+    found = {
+        "see:instagram.com/p": ["인스타 https://instagram.com/p"], "[x](https://x.com/a)": ["X https://x.com/a"], "링크instagram.com/b": ["인스타 https://instagram.com/b"],
+        "x.com": ["X https://x.com/"], "HTTP://WWW.X.com?q=1 x.com#top": ["X http://www.x.com/?q=1", "X https://x.com/#top"], "(twitter.com/a), twitter.com/a!": ["X https://twitter.com/a"],
+        "a@x.com": [], "_x.com": [], ".x.com": [], "-x.com": [], "fox.com": [], "x.com.evil": [], "x.com-a": [], "x.comet": [], "x.com:80/p": ["X https://x.com/"], "//x.com/p": ["X https://x.com/p"],
+        "x.com/가\u3000y": ["X https://x.com/%EA%B0%80"], "<a href='https://m.instagram.com/q'>": ["인스타 https://m.instagram.com/q"], "a." * 5000 + "x.com": [], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in found], "t string")
+    got = {r.t: [f"{x.label} {x.url}" for x in r.l] for r in df.select("t", text.social_links(F.col("t")).alias("l")).collect()}
+    assert got == found
+    assert one(spark, text.social_links(F.lit(None).cast("string"))) == []
+
+
+def test_phrases_are_neither_blank_nor_ranges(spark):
+    array = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    paragraphs = array("one two", "  three")
+    assert [one(spark, text.phrases_occur(array(*p), paragraphs, 1, 2)) for p in (["one"], ["  "], [""], ["one", "three"], [], ["four"], ["one", "two", "three"])] == [True, False, False, True, False, False, False]
+    shown = lambda t, c=(), e=(): one(spark, text.overview_phrases(F.lit(t), array(*c), array(*e)))
+    assert shown("금리 3~5%, +1,200억원 −2.5%p") == ["금리 3~5%, +1,200억원 −2.5%p", "5%", "+1,200억원", "−2.5%p"]
+    assert shown("당시 기록. 3%") == ["3%"] and shown("주요 기록: 셋. 넷") == ["셋."]
+    assert shown("a b c d e f", ["", "a", "b", "c", "d"]) == ["a b c d e f", "a", "b", "c"]
+    assert shown("a b", ["a"], [""]) == [] and shown("a b", ["a"], ["b", "z"]) == ["b"]
+    assert one(spark, text.number_tokens(F.lit("3~5% 7명"))) == ["3~5%", "7명"]
