@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from urllib.parse import quote
 
@@ -72,6 +73,37 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def similarity_bound(a: str, b: str) -> float:
+    """The ratio can't exceed this: matched characters are common to both multisets, and so are all but one of the neighbours
+    in each of the runs that they come in."""
+    total = len(a) + len(b)
+    common = sum((Counter(a) & Counter(b)).values())
+    if not total:
+        return 1.0
+    neighbours = sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values())
+    return 2.0 * min(common, (neighbours + total + 1) // 3) / total
+
+
+def similarity_from(least: float):
+    """A UDF for :func:`similarity` that gives null where bounds show that it is below ``least``, or where it is."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher, held = [], SequenceMatcher(None), None
+        for x, y in zip(a, b):
+            ratio = None
+            if x is not None and y is not None and similarity_bound(x, y) >= least:
+                if y != held:  # what is known of the second text serves for all of its partners
+                    matcher.set_seq2(y)
+                    held = y
+                matcher.set_seq1(x)
+                ratio = matcher.ratio()
+            out.append(ratio if ratio is not None and ratio >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
 @F.pandas_udf(T.StringType())
 def decode_entities(t: pd.Series) -> pd.Series:
     return t.map(lambda v: None if v is None else html.unescape(v))
@@ -83,11 +115,6 @@ def encode_unicode(u: pd.Series) -> pd.Series:
     return u.map(lambda v: None if v is None else quote(v, safe=":/?#[]@!$&'()*+,;=%"))
 
 
-def similarity_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio from lengths alone: a cheap filter before the UDF."""
-    return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-
-
 def fingerprint(facts: Column) -> Column:
     """SHA-256 of a map's normalised keys and values in key order."""
     entries = F.array_sort(F.transform(F.map_entries(facts), lambda e: F.struct(normalized(e["key"]).alias("key"), normalized(e["value"]).alias("value"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import similarity, similarity_bound
+from tallyloom.functions.text import similarity_from
 
 
 def key_rows(df: DataFrame, row_id: str, keys: dict[str, Column]) -> DataFrame:
@@ -52,19 +52,80 @@ def equal_pairs(df: DataFrame, row_id: str, pos: str, within: list[str], keys: l
     return out.groupBy("earlier", "later").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], left_text: str, right_text: str, least: float, min_length: int = 0) -> DataFrame:
-    """Rows of equal block ``on`` whose texts are at least ``least`` alike (left first).
+#: Common tokens that a pair must have among the rarest of both sides; more tokens go into the join, fewer pairs come out.
+RARE_COMMON = 12
+
+
+def _titles(df: DataFrame, c: str) -> DataFrame:
+    """(id, t, size) of the distinct texts of a column."""
+    return df.select(F.col(c).alias("t")).where(F.col("t").isNotNull()).distinct().select(F.md5("t").alias("id"), "t", F.length("t").alias("size"))
+
+
+def _tokens(titles: DataFrame, least: float) -> DataFrame:
+    """(id, size, q, n, need, gram, pos): the q-grams of texts, ``need`` of which any text must share in place that is ``least`` alike.
 
-    The ratio can't exceed twice the shorter length over both, so the UDF sees only pairs
-    that pass this bound, and each pair of texts once.
+    A pair of ``s`` characters together has at least ``M = least * s / 2`` of them matched, in at most ``1 + s - 2 * M`` runs, so it has ``3 * M
+    - s - 1`` pairs of neighbours in common. Where a text is so short that this is nothing, single characters are taken: M are common.
     """
-    pairs = left.join(right, on)
-    pairs = pairs.where((F.length(left_text) >= min_length) & (similarity_bound(F.col(left_text), F.col(right_text)) >= least))
-    # By a number: few bytes of texts are much work, which adaptive execution would put in one task. The filter must stay
-    # above the UDF, else it is moved, with the UDF, below the distinct.
-    texts = pairs.select(left_text, right_text).distinct().repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left_text, right_text)
-    alike = texts.withColumn("ratio", similarity.asNondeterministic()(left_text, right_text)).where(F.col("ratio") >= least)
-    return pairs.join(alike, [left_text, right_text])
+    smallest = F.col("size") * 2 / (2 - least)  # of both texts together: the shorter has all its characters matched
+    pairs = F.ceil((1.5 * least - 1) * smallest - 1 - 1e-9).cast("int")
+    sized = titles.where("size > 0").withColumn("q", F.when(pairs >= 1, 2).otherwise(1)).withColumn("need", F.when(pairs >= 1, pairs).otherwise(F.ceil(least * smallest / 2 - 1e-9).cast("int")))
+    # A pair may have one text of either kind; the shorter kind's tokens must then be there for both.
+    longest_short = F.lit(2 / (1.5 * least - 1) * (2 - least) / least if least > 2 / 3 else float("inf"))
+    both = F.when((F.col("q") == 2) & (F.col("size") <= longest_short), F.array(F.lit(1), F.lit(2))).otherwise(F.array("q"))
+    sized = sized.select("id", "t", "size", "need", F.col("q").alias("own"), F.explode(both).alias("q"))
+    sized = sized.withColumn("need", F.when(F.col("q") == F.col("own"), F.col("need")).otherwise(F.ceil(least * smallest / 2 - 1e-9).cast("int")))
+    sized = sized.withColumn("n", F.col("size") - F.col("q") + 1).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return sized.select("id", "size", "q", "n", "need", F.substring("t", F.col("pos"), F.col("q")).alias("gram"), "pos")
+
+
+def _rarest(tokens: DataFrame, freq: DataFrame) -> DataFrame:
+    """The tokens of a text that are rarest over all texts: as many as must hold ``few`` of any ``need`` that are common."""
+    few = F.least(F.lit(RARE_COMMON), F.col("need"))
+    packed = tokens.join(freq, ["q", "gram"]).groupBy("id", "size", "q", "n", "need").agg(F.array_sort(F.collect_list(F.struct("freq", "gram", "pos"))).alias("all"))  # a text's own
+    kept = packed.select("id", "size", "q", few.alias("few"), F.explode(F.slice("all", F.lit(1), F.greatest(F.col("n") - F.col("need") + few, F.lit(1)))).alias("k"))
+    return kept.select("id", "size", "q", "few", "k.gram", "k.pos")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float) -> DataFrame:
+    """(left_id, right_id), the md5 of texts: all pairs of different texts that can be ``least`` alike, from an inverted index on rare q-grams.
+
+    Lengths must allow the ratio; a common token must stand no further from its place than the characters that remain
+    unmatched; and so many tokens must be common among the rarest of both. No pair that is ``least`` alike is lost.
+    """
+    a, b = _titles(left, left_text), _titles(right, right_text)
+    ta, tb = _tokens(a, least), _tokens(b, least)
+    freq = ta.unionByName(tb).groupBy("q", "gram").agg(F.count("*").alias("freq"))
+    side = lambda t, p: t.select("q", "gram", *(F.col(c).alias(p + c) for c in ("id", "size", "few", "pos")))
+    l, r = side(_rarest(ta, freq), "left_"), side(_rarest(tb, freq), "right_")
+    total = F.col("left_size") + F.col("right_size")
+    matched = F.ceil(least * total / 2 - 1e-9)
+    near = F.abs(F.col("left_pos") - F.col("right_pos")) <= F.greatest("left_size", "right_size") - matched
+    met = l.join(r, ["q", "gram"]).where((F.col("left_id") != F.col("right_id")) & (matched <= F.least("left_size", "right_size")) & near)
+    counted = met.groupBy("q", "left_id", "right_id").agg(F.count("*").alias("n"), F.min(F.least("left_few", "right_few")).alias("few"))
+    return counted.where("n >= few").select("left_id", "right_id").distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float, min_length: int = 0) -> DataFrame:
+    """(``left_text``, ``right_text``, ratio): distinct texts of both sides that are at least ``least`` alike, left first; equal texts too.
+
+    No block is needed: candidates come from :func:`candidate_pairs`, then the multisets of characters and of neighbours bound the ratio, and
+    only what is left is compared. Null and empty texts match nothing. One title repeated by many rows is one text.
+    """
+    a, b = _titles(left, left_text).where(F.col("size") >= F.greatest(F.lit(1), F.lit(min_length))), _titles(right, right_text).where("size > 0")
+    pairs = candidate_pairs(left.where(F.length(left_text) >= min_length), right, left_text, right_text, least)
+    texts = pairs.join(a.select(F.col("id").alias("left_id"), F.col("t").alias(left_text)), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("t").alias(right_text)), "right_id").select(left_text, right_text)
+    # By a number: few bytes of texts are much work, which adaptive execution would put in one task.
+    texts = texts.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), right_text, left_text)
+    alike = texts.withColumn("ratio", similarity_from(least).asNondeterministic()(left_text, right_text)).where(F.col("ratio") >= least)
+    equal = a.select("id", F.col("t").alias(left_text)).join(b.select("id", F.col("t").alias(right_text)), "id").select(left_text, right_text, F.lit(1.0).alias("ratio"))
+    return alike.unionByName(equal)
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], left_text: str, right_text: str, least: float, min_length: int = 0) -> DataFrame:
+    """Rows of equal block ``on`` whose texts are at least ``least`` alike (left first): :func:`similar_pairs` and a join each to the rows."""
+    alike = similar_pairs(left, right, left_text, right_text, least, min_length)
+    return left.join(alike, left_text).join(right, [*on, right_text])
 
 
 def latest_before(rows: DataFrame, prior: DataFrame, key: str, at: str, prior_at: str, prior_id: str) -> DataFrame:

@@ -144,3 +144,18 @@ def similar_titles(t):
     each = w.select("block", "title").distinct()
     near = matching.fuzzy_pairs(each, each.withColumnRenamed("title", "prior_title"), ["block"], "title", "prior_title", 0.82)
     return w.join(near, ["block", "title"]).join(b, ["block", "prior_title"]).where("prior_id < id").select("id", "prior_id", "ratio")
+
+
+@query()
+def alike_titles(t):
+    """Page titles against all others, without a block: each page with the first page of its title, how many other titles are at least 0.82
+    alike to it, and the most alike of them. The ratio has no SQL form.
+
+    Compared are titles, not pages, so a title that many pages have costs no pairs.
+    """
+    p = t.pages.select("page_id", text.normalized(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    first = p.groupBy("title").agg(F.min("page_id").alias("first_id"))
+    near = matching.similar_pairs(p, p.withColumnRenamed("title", "other"), "title", "other", 0.82).where("title <> other")
+    near = near.join(first.select(F.col("title").alias("other"), F.col("first_id").alias("other_id")), "other")
+    best = near.groupBy("title").agg(F.count("*").alias("n_alike"), F.max_by("other_id", F.struct("ratio", -F.col("other_id"))).alias("most_alike"), F.max("ratio").alias("ratio"))
+    return p.join(first, "title").join(best, "title", "left").select("page_id", "first_id", F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "most_alike", "ratio")

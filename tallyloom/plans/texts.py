@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text, urls
 from tallyloom.plans.registry import query
-from tallyloom.sources import readers
+from tallyloom.sources import readers, trees
 
 _PARTS = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 1) AS scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 2)) AS host, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 3) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q"
 
@@ -152,3 +152,47 @@ def stressed_phrases(t):
     own = F.when(k % 4 == 0, F.array(F.lit(""), F.lit("absent"), F.substring("text", 1, 12))).otherwise(F.array(F.lit("absent")))
     c = t.conversations.select("conv_id", "turn", said.alias("t"), own.alias("own"), F.array(F.substring("text", 1, 20), F.lit(""), F.lit("absent")).alias("near"))
     return c.select("conv_id", "turn", text.phrases_occur(F.col("own"), F.array("t"), 1, 6).alias("occur"), F.array_join(text.overview_phrases(F.col("t"), F.col("near"), F.col("own")), "|").alias("phrases"))
+
+
+@query(r"""
+WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a href="[^"]*">[^<]*</a>') AS l FROM pages), a AS (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos FROM n)
+SELECT page_id, pos, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&') AS text FROM a""")
+def nav_links(t):
+    """Links below the navigation element, in order, with their text: selected by intervals of the page's tree."""
+    p = t.pages.select("page_id", trees.nodes("html").alias("tree"))
+    nav = p.withColumn("nav", trees.first(trees.select(F.col("tree"), tag="nav")))
+    links = F.transform(trees.select(trees.below(F.col("tree"), F.col("nav")), tag="a"), lambda a: F.struct(a["attrs"]["href"].alias("href"), trees.shown_text(F.col("tree"), a).alias("text")))
+    return nav.select("page_id", F.posexplode(links).alias("pos", "a")).select("page_id", F.col("pos").cast("long").alias("pos"), "a.href", "a.text")
+
+
+@query(r"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-zA-Z]')) AS BIGINT) AS n_elements, trim(replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&amp;', '&'), '&copy;', '©')) AS heading,
+ CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) AS BIGINT) AS n_paragraphs FROM pages""")
+def page_outline(t):
+    """Elements of a page, the heading of its article, and the article's paragraphs."""
+    tree = F.col("tree")
+    p = t.pages.select("page_id", trees.nodes("html").alias("tree")).withColumn("article", trees.first(trees.select(tree, tag="article")))
+    part = trees.below(tree, F.col("article"))
+    return p.select("page_id", F.size(trees.select(tree)).cast("long").alias("n_elements"), F.trim(trees.shown_text(tree, trees.first(trees.select(part, tag="h1")))).alias("heading"), F.size(trees.select(part, tag="p")).cast("long").alias("n_paragraphs"))
+
+
+@query(r"""
+WITH n AS (SELECT page_id, list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="/([^"]*)"', 1), lambda w: replace(w, '&amp;', '&')) AS words FROM pages),
+i AS (SELECT page_id, w AS word, pos, length(w) % 5 AS idx FROM (SELECT page_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM n)),
+f AS (SELECT page_id, idx, min(pos) AS pos, arg_min(word, pos) AS word FROM i GROUP BY page_id, idx),
+s AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'no list' WHEN page_id % 10 = 2 THEN 'bad link' WHEN page_id % 10 = 1 OR len(words) = 0 THEN 'empty' ELSE 'ok' END AS status FROM n)
+SELECT s.page_id, status, CASE WHEN status = 'ok' AND s.page_id % 3 = 0 THEN 'https://aagag.com/issue/?page=' || (s.page_id + 1) END AS next_page, CASE WHEN status = 'ok' THEN (SELECT string_agg(pos || ' aagag-' || idx || ' https://aagag.com/issue/?idx=' || idx || '_' || length(word) || ' ' || word || '+' || pos || ' ' || word || ' ' || pos || '분 전', ';' ORDER BY pos) FROM f WHERE f.page_id = s.page_id) END AS items FROM s""")
+def post_listings(t):
+    """Listing pages made of the pages' navigation links, some without a list, with an empty one or with a foreign link; repeats by identity."""
+    k = F.col("page_id")
+    words = F.transform(F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda w: w)
+    size = lambda w: F.length(F.replace(w, F.lit("&amp;"), F.lit("&")))
+    post = lambda w, i: F.concat(F.lit("<a class='big article' href=/issue/?idx="), size(w) % 5, F.lit("_"), size(w), F.lit("><b class='x title'>"), w, F.lit("<i>+"), i, F.lit("</i></b><script>'<p>'</script><u hidden>no</u><span class=time> "), i, F.lit("분 전</span><br>"))
+    item = lambda w, i: F.concat(post(w, i), F.lit("</a>"))
+    body = F.when(k % 10 == 1, "").otherwise(F.array_join(F.transform("words", item), "<li>"))
+    foreign = F.when(k % 10 == 2, "<a class=article href='https://example.com/'>x</a>").otherwise("")
+    far = F.when(k % 3 == 0, F.concat(F.lit("<a href='?page="), k + 1, F.lit("'>next</a>"))).otherwise("<a href='?page=0'>first</a>")
+    page = F.concat(F.lit("<a class=article href='?idx=99'>outside</a><div id="), F.when(k % 10 == 0, "other").otherwise("listIssue"), F.lit("><a href='?idx=98'>no item</a>"), body, foreign, F.lit("</div>"), far)
+    listed = t.pages.select("page_id", "html", words.alias("words")).select("page_id", F.concat(F.lit("https://aagag.com/issue/?page="), k).alias("url"), page.alias("page"))
+    said = F.array_join(F.transform("items", lambda m: F.concat_ws(" ", m["pos"].cast("string"), m["id"], m["url"], m["title"], m["own_title"], m["age"])), ";")
+    return trees.listing(listed, "page_id", "url", "page").select("page_id", "status", "next_page", said.alias("items"))
