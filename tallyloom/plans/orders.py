@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ordering, state, timeline
+from tallyloom.operators import ordering, revisions, state, timeline
 from tallyloom.plans.registry import query
 
 _PARTS = """SELECT p_partkey AS id, p_brand AS edition, p_size * 2 AS importance, p_partkey % 101 AS domestic, p_partkey % 7 * 10 AS reliability, p_partkey % 13 * 5 AS recency, p_partkey % 17 * 5 AS interest FROM part"""
@@ -174,3 +174,35 @@ def rejected_batch(t):
     bad = t.events.where("event_id % 2 = 1 and value < 1e9").limit(1)
     out = state.apply_batch(t.events.where("event_id % 2 = 0"), t.events.where("event_id % 2 = 1"), bad, "user_id", ["ts", "event_id"])
     return out.select("user_id", "event_id")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT o_orderkey AS id, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_orderkey % 4 AS expected, CAST(floor(o_totalprice) AS BIGINT) AS verified, o_orderstatus AS fixed FROM orders),
+f AS (SELECT k, arg_min(fixed, i) AS fixed FROM w WHERE expected = 0 GROUP BY k),
+m AS (SELECT w.*, coalesce(w.fixed = f.fixed, false) AS same FROM w LEFT JOIN f USING (k)),
+s(k, i, id, r, v, accepted) AS (SELECT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM (SELECT DISTINCT k FROM m)
+ UNION ALL SELECT s.k, m.i, m.id, CASE WHEN s.accepted THEN s.r + 1 ELSE s.r END, CASE WHEN s.accepted THEN p.verified ELSE s.v END,
+ m.same AND m.expected = CASE WHEN s.accepted THEN s.r + 1 ELSE s.r END AND coalesce(m.verified >= CASE WHEN s.accepted THEN p.verified ELSE s.v END, true) FROM s JOIN m ON m.k = s.k AND m.i = s.i + 1 LEFT JOIN m p ON p.k = s.k AND p.i = s.i)
+SELECT s.id, s.r AS current_revision, m.expected = s.r AS revision_ok, coalesce(m.verified >= s.v, true) AS time_ok, s.r = 0 OR m.same AS identity_ok, s.accepted FROM s JOIN m ON m.id = s.id""")
+def write_audit(t):
+    """Attempted writes, refused ones among them: a refused write leaves the revision as it is."""
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), "o_orderdate", (F.col("o_orderkey") % 4).alias("expected"), F.floor("o_totalprice").alias("verified"), F.col("o_orderstatus").alias("fixed"))
+    w = revisions.attempted_writes(o, "k", ["o_orderdate", "id"], "expected", "verified", ["fixed"])
+    return w.select("id", "current_revision", "revision_ok", "time_ok", "identity_ok", "accepted")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT event_id AS id, user_id AS k, ts AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS i, event_id % 3 AS expected, CAST(floor(value) AS BIGINT) AS verified, date_trunc('day', ts) + (event_id % 2) * INTERVAL 6 HOUR AS published FROM events),
+u AS (SELECT *, coalesce(published <= seen AND seen < published + INTERVAL 24 HOUR, false) AS fresh FROM w),
+f AS (SELECT k, arg_min(published, i) AS p FROM u WHERE fresh AND expected = 0 AND verified IS NOT NULL GROUP BY k),
+s(k, i, id, r, v, accepted, verified) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS BIGINT) FROM u
+ UNION ALL SELECT s.k, u.i, u.id, CASE WHEN s.accepted THEN s.r + 1 ELSE s.r END, CASE WHEN s.accepted THEN s.verified ELSE s.v END,
+ u.fresh AND coalesce(u.published = f.p, false) AND u.expected = CASE WHEN s.accepted THEN s.r + 1 ELSE s.r END AND coalesce(u.verified >= CASE WHEN s.accepted THEN s.verified ELSE s.v END, u.verified IS NOT NULL), u.verified FROM s JOIN u ON u.k = s.k AND u.i = s.i + 1 LEFT JOIN f ON f.k = s.k),
+a AS (SELECT s.k, min(u.seen) AS first_seen, min(u.published) AS published, count(*) AS n FROM s JOIN u ON u.id = s.id WHERE accepted GROUP BY s.k)
+SELECT s.k AS key, CAST(s.id AS VARCHAR) AS op, CASE WHEN NOT accepted THEN 'refused' WHEN r = 0 THEN 'first' ELSE 'update' END AS kind, CASE WHEN accepted THEN NULL WHEN NOT fresh THEN 'stale' WHEN r > 0 AND u.published <> f.p THEN 'identity' WHEN u.expected <> s.r THEN 'revision' ELSE 'verification' END AS reason,
+ u.seen AS "at", CASE WHEN accepted THEN r + 1 ELSE r END AS revision, CASE WHEN accepted OR r > 0 THEN a.first_seen END AS first_seen, CASE WHEN accepted OR r > 0 THEN a.published END AS published FROM s JOIN u ON u.id = s.id LEFT JOIN f ON f.k = s.k LEFT JOIN a ON a.k = s.k
+UNION ALL SELECT k, NULL, 'expired', NULL, published + INTERVAL 24 HOUR, n, first_seen, published FROM a WHERE published + INTERVAL 24 HOUR <= TIMESTAMP '2024-03-01 00:00:00'""")
+def rolling_events(t):
+    """Rolling items by a log of writes: first and later ones, refusals with their reason, and expiries."""
+    e = t.events.select(F.col("event_id").alias("op"), F.col("user_id").alias("k"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("expected"), F.floor("value").alias("verified"), (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 2 * 6).cast("int"))).alias("published"))
+    return revisions.rolling(e.withColumn("op", F.col("op").cast("string")), "k", "op", "at", "expected", "verified", "published", F.lit("2024-03-01").cast("timestamp_ntz"))

@@ -6,6 +6,9 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: The state store that processors with lists and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cpus: int | None = None, app: str = "tallyloom") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -19,6 +22,7 @@ def local_session(cpus: int | None = None, app: str = "tallyloom") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )
 
