@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
+from tallyloom.sinks.journal import Journal
 
 
 def csv_guarded(df: DataFrame) -> DataFrame:
@@ -58,32 +59,23 @@ def event_rows(events: DataFrame, command: str, recorded: Column) -> DataFrame:
 
 
 def write_journaled(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFrame]) -> None:
-    """Several tables as one step: each is written to its own folder of the batch, in the given order, and the manifest last.
+    """Several tables as one step, in the given order, by the :class:`journal.Journal` below the path.
 
-    A batch without a manifest never happened: :func:`committed` doesn't see it, and writing it again replaces what a
-    lost attempt left. A batch that has one is immutable, and writing it again does nothing.
+    What an earlier attempt left is finished or undone first. A batch that is done is immutable, and writing it again does nothing.
     """
-    if batch in {r.batch for r in committed(spark, path).collect()}:
-        return
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/data/{name}/batch={batch}")
-    manifest = spark.createDataFrame([(batch, list(tables))], "batch string, tables array<string>")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{batch}")
+    log = Journal(spark, path)
+    log.recover()
+    log.write(batch, tables)
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """(batch, tables) of the batches whose manifest is there: a row each."""
-    schema = "batch string, tables array<string>"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{path}/manifest")
-
-
-def read_journaled(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table's rows of all committed batches; what an unfinished batch wrote is not read."""
-    done = [r.batch for r in committed(spark, path).collect()]  # a row a batch
-    return spark.read.option("basePath", f"{path}/data/{name}").parquet(*(f"{path}/data/{name}/batch={b}" for b in done))
+    """(batch) of the batches that are done: a row each."""
+    return Journal(spark, path).done()
+
+
+def read_journaled(spark: SparkSession, path: str, name: str, schema=None) -> DataFrame:
+    """A table's rows of all batches that are done; given its schema, no rows before the first."""
+    return Journal(spark, path).read(name, schema)
 
 
 def write_publication(spark: SparkSession, roots: list[str], batch: str, stories: DataFrame, entries: DataFrame, index: DataFrame) -> None:
