@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ TRACKING_C = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid")
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+#: The same as a replacement that leaves the four parts between number signs, which none of them can hold; nothing but those where it isn't one.
+_APART = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$(?s:.*)|(?s:.*))\z"
+
+
 def part(u: Column, i: int) -> Column:
     """Scheme, authority, path or query of an absolute URL (1 to 4)."""
     return F.regexp_extract(u, _PARTS, i)
@@ -46,12 +52,23 @@ def canonical_sorted(u: Column) -> Column:
     return F.when(is_public(u), _rebuilt(F.lower(part(u, 1)), F.lower(part(u, 2)), F.rtrim(part(u, 3), F.lit("/")), F.array_sort(pairs)))
 
 
+def _taken_apart(u: Column, made: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """What is made of the four parts of a URL that :func:`part` gives, which is taken apart once for all of them."""
+    parts = F.split(F.regexp_replace(u, _APART, "$1#$2#$3#$4"), "#")
+    return F.get(F.transform(F.array(parts), lambda p: made(*(F.get(p, F.lit(i)) for i in range(4)))), F.lit(0))
+
+
 def canonical_ordered(u: Column) -> Column:
     """Form B: lower authority, query in order without blank values and tracking keys; path parameters dropped."""
-    pairs = F.filter(_pairs(part(u, 4)), lambda p: p.rlike("=.") & ~_key(p).startswith("utm_") & ~_key(p).isin(*TRACKING_B))
-    path = F.rtrim(F.regexp_replace(part(u, 3), r";[^/]*$", ""), F.lit("/"))
-    ok = F.lower(part(u, 1)).isin("http", "https") & (host(u) != "") & ~F.contains(part(u, 2), F.lit("@"))
-    return F.when(ok, _rebuilt(F.lower(part(u, 1)), F.lower(part(u, 2)), path, pairs))
+
+    def made(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
+        pairs = F.filter(_pairs(query), lambda p: p.rlike("=.") & ~_key(p).startswith("utm_") & ~_key(p).isin(*TRACKING_B))
+        bare = F.rtrim(F.regexp_replace(path, r";[^/]*$", ""), F.lit("/"))
+        named = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "") != ""
+        ok = F.lower(scheme).isin("http", "https") & named & ~F.contains(authority, F.lit("@"))
+        return F.when(ok, _rebuilt(F.lower(scheme), F.lower(authority), bare, pairs))
+
+    return _taken_apart(u, made)
 
 
 def canonical_plain(u: Column) -> Column:

@@ -52,7 +52,8 @@ def every(items: Column, rule: Callable[[Column], Column]) -> Column:
 
 
 def distinct(items: Column) -> Column:
-    return F.size(F.array_distinct(items)) == F.size(items)
+    # The items are made once for both sizes.
+    return F.get(F.transform(F.array(items), lambda x: F.size(F.array_distinct(x)) == F.size(x)), F.lit(0))
 
 
 def within_words(texts: Column, most: int = LIMIT_WORDS) -> Column:

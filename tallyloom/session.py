@@ -19,6 +19,7 @@ def local_session(cpus: int | None = None, app: str = "tallyloom") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "1m")  # a local file of some MB is work for all cores
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
