@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text, urls
-from tallyloom.operators import matching, timeline
+from tallyloom.operators import history, matching, rules, timeline
 from tallyloom.plans.registry import query
 
 
@@ -159,3 +159,41 @@ def alike_titles(t):
     near = near.join(first.select(F.col("title").alias("other"), F.col("first_id").alias("other_id")), "other")
     best = near.groupBy("title").agg(F.count("*").alias("n_alike"), F.max_by("other_id", F.struct("ratio", -F.col("other_id"))).alias("most_alike"), F.max("ratio").alias("ratio"))
     return p.join(first, "title").join(best, "title", "left").select("page_id", "first_id", F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "most_alike", "ratio")
+
+
+_RULES = {
+    "same_edition": "NOT repeats", "delta": "NOT follows OR (s.delta IS NOT NULL AND length(trim(s.delta)) >= 15)", "newest_target": "NOT follows OR (p.id IS NOT NULL AND s.follow_story = p.id AND s.follow_edition = p.edition_id)",
+    "new_words": "p.id IS NULL OR s.words <> p.words", "new_facts": "p.id IS NULL OR s.facts_hash <> p.facts_hash", "new_evidence": "p.id IS NULL OR s.source_at > p.cutoff_at", "one_target": "s.follow_story IS NULL OR n_targets = 1",
+    "target_issue": "s.follow_story IS NULL OR n_targets <> 1 OR target_issue = s.issue_id", "issue_title": "other_title IS NULL", "correction": "CASE WHEN s.stage = '정정' THEN fixed ELSE s.correction_story IS NULL END", "recent_repeat": "NOT recent",
+}
+_STORIES = """SELECT doc_id AS id, doc_id AS pos, doc_id % 30 AS edition_id, TIMESTAMP '2026-10-01 00:00:00' + (doc_id % 30) * INTERVAL 1 DAY AS cutoff_at, doc_id % 11 = 0 AS archived, source || (doc_id % 50) AS topic_key, lower(left(text, 24)) AS title, 'u' || (n_chars % 400) AS url,
+ md5(left(text, 40)) AS facts_hash, md5(left(text, 60)) AS words, 'i' || (doc_id % 70) AS issue_id, 'I' || (doc_id % 70) || CASE WHEN doc_id % 17 = 0 THEN lang ELSE '' END AS issue_title, CASE WHEN doc_id % 3 = 0 THEN (doc_id + 20) % 30 END AS follow_edition, CASE WHEN doc_id % 3 = 0 THEN doc_id - 70 END AS follow_story,
+ CASE WHEN doc_id % 4 = 0 THEN 'A substantive difference' WHEN doc_id % 4 = 1 THEN 'short' END AS delta, CASE WHEN doc_id % 5 = 0 THEN '정정' ELSE '보도' END AS stage, CASE WHEN doc_id % 5 = 0 THEN (doc_id + 20) % 30 END AS correction_edition, CASE WHEN doc_id % 5 = 0 THEN doc_id - 70 WHEN doc_id % 23 = 0 THEN 1 END AS correction_story,
+ TIMESTAMP '2026-10-01 00:00:00' + (doc_id % 30) * INTERVAL 1 DAY - (n_chars % 60) * INTERVAL 1 HOUR AS source_at FROM documents"""
+
+
+@query(f"""
+WITH s AS ({_STORIES}),
+k AS (SELECT id, edition_id, cutoff_at, archived, unnest(['t' || topic_key, 'u' || url, 'f' || facts_hash, 'n' || title]) AS key, topic_key, url FROM s),
+x AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (key) WHERE NOT b.archived AND b.cutoff_at < a.cutoff_at UNION SELECT a.id, b.id FROM s a JOIN s b USING (issue_id) WHERE NOT b.archived AND b.cutoff_at < a.cutoff_at),
+p AS (SELECT x.a, s.* FROM x JOIN s ON s.id = x.b QUALIFY row_number() OVER (PARTITION BY x.a ORDER BY s.cutoff_at DESC, s.pos) = 1),
+r AS (SELECT DISTINCT a.id FROM k a JOIN k b USING (key) WHERE a.edition_id = b.edition_id AND b.id < a.id),
+t AS (SELECT s.id, count(*) AS n, min(o.issue_id) AS issue FROM s JOIN s o ON o.id = s.follow_story AND o.edition_id = s.follow_edition WHERE NOT o.archived AND o.cutoff_at < s.cutoff_at GROUP BY s.id),
+c AS (SELECT DISTINCT s.id FROM s JOIN s o ON o.id = s.correction_story AND o.edition_id = s.correction_edition AND o.issue_id = s.issue_id WHERE NOT o.archived AND o.cutoff_at < s.cutoff_at),
+i AS (SELECT DISTINCT s.id FROM s JOIN s o ON o.issue_id = s.issue_id AND o.issue_title <> s.issue_title WHERE NOT o.archived AND o.cutoff_at < s.cutoff_at),
+w AS (SELECT DISTINCT a.id FROM k a JOIN k b USING (key) WHERE NOT b.archived AND (starts_with(key, 't') OR starts_with(key, 'u')) AND b.edition_id BETWEEN a.edition_id - 14 AND a.edition_id - 1),
+j AS (SELECT s.*, r.id IS NOT NULL AS repeats, p.id IS NOT NULL OR s.follow_story IS NOT NULL AS follows, coalesce(t.n, 0) AS n_targets, t.issue AS target_issue, c.id IS NOT NULL AS fixed, i.id AS other_title, w.id IS NOT NULL AS recent FROM s LEFT JOIN r USING (id) LEFT JOIN p ON p.a = s.id LEFT JOIN t ON t.id = s.id LEFT JOIN c ON c.id = s.id LEFT JOIN i ON i.id = s.id LEFT JOIN w ON w.id = s.id)
+SELECT s.id AS key, unnest(list_filter([{", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in _RULES.items())}], lambda v: v IS NOT NULL)) AS rule FROM j s LEFT JOIN p ON p.a = s.id""")
+def story_history(t):
+    """Rules that compare a story with its edition and with earlier ones; what they ask is looked up. Titles count where they are equal, as the ratio has no SQL form."""
+    d = t.documents
+    k = F.col("doc_id")
+    past = lambda n: F.when(k % n == 0, k - 70)
+    cutoff = F.lit("2026-10-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k % 30).cast("int"))
+    s = d.select(
+        k.alias("id"), k.alias("pos"), (k % 30).alias("edition_id"), cutoff.alias("cutoff_at"), (k % 11 == 0).alias("archived"), F.concat("source", k % 50).alias("topic_key"), F.lower(F.substring("text", 1, 24)).alias("title"), F.array(F.concat(F.lit("u"), F.col("n_chars") % 400)).alias("urls"),
+        F.md5(F.substring("text", 1, 40)).alias("facts_hash"), F.md5(F.substring("text", 1, 60)).alias("words"), F.concat(F.lit("i"), k % 70).alias("issue_id"), F.concat(F.lit("I"), k % 70, F.when(k % 17 == 0, F.col("lang")).otherwise("")).alias("issue_title"),
+        F.when(k % 3 == 0, (k + 20) % 30).alias("follow_edition"), past(3).alias("follow_story"), F.when(k % 4 == 0, "A substantive difference").when(k % 4 == 1, "short").alias("delta"), F.when(k % 5 == 0, "정정").otherwise("보도").alias("stage"),
+        F.when(k % 5 == 0, (k + 20) % 30).alias("correction_edition"), F.coalesce(past(5), F.when(k % 23 == 0, 1)).alias("correction_story"), (cutoff - F.make_dt_interval(hours=(F.col("n_chars") % 60).cast("int"))).alias("source_at"),
+    )
+    return rules.violations(history.with_history(s, least=1.0), "id", history.history_rules())
