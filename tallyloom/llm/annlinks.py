@@ -13,10 +13,15 @@
    own node where it is in the block): the best open nodes of a beam and every node
    within the range are expanded.
 4. Links found are verified by cosine in double precision. A link found in any shard
-   that both vectors share counts, and counts once: where they share one shard it is
-   counted there, else the ids of the partners are united by vector.
-5. Tasks return counts, lists of such partners and a local class per vector; classes
-   are joined to components. :func:`audit` measures recall against brute force.
+   that both vectors share counts, and counts once: in the first of their shared shards.
+   Of links that another shared shard could find too, each task also returns, by vector and pair of
+   shards, the exclusive or of the links' hashes. Where these agree, all shards found the same links; only for a
+   vector where they don't, the partners' ids are returned by a second search, and united.
+5. Tasks return counts, those digests and a local class per vector, so their rows grow with the
+   vectors, not with the links; classes are joined to components. :func:`audit` measures recall against brute force.
+
+Equal vectors of a label are one node that weighs as many: they all link with each other, and a link of the node is one of each
+of them. So a group of copies, however large, costs what one vector does.
 
 Defined cases. A vector that is null, zero, empty, holds a null or a non-finite
 component, or has a null label links with nothing: 0 links, its own class. A null
@@ -35,7 +40,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm import store
 from tallyloom.llm.components import connected, heads
-from tallyloom.llm.vectext import ragged
+from tallyloom.llm.vectext import mix, ragged
 from tallyloom.llm.vptree import usable
 
 SHARD_ROWS = 512
@@ -51,7 +56,10 @@ MEDOIDS = 8
 
 PLACED = T.StructType([T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("homes", T.ArrayType(T.LongType()))])
 ADJACENT = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))])
-LINKED = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("head", T.LongType()), T.StructField("also", T.ArrayType(T.LongType()))])
+#: Of a vector with its shards in order: links within one shard, links first shared here, digests for the first and second, first and third, second and third.
+LINKED = T.StructType([T.StructField(c, T.LongType()) for c in ("vec_id", "n_links", "n_first", "first_second", "first_third", "second_third", "head")])
+DIGESTS = ("first_second", "first_third", "second_third")
+PARTNERS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("also", T.ArrayType(T.LongType()))])
 
 
 def _matrix(column) -> np.ndarray:
@@ -219,7 +227,14 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
     """(vec_id, n_links, component_id, kept), a row per input row."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("x")).groupBy("vec_id").agg(F.min(F.struct("label", "x")).alias("v"))
-    nodes, path = store.written(good.select("vec_id", "v.label", "v.x", F.size("v.x").alias("dim")), "ann-nodes")
+    spark = df.sparkSession
+    # Equal vectors by 128 bits of hash; zeros of either sign are equal.
+    same = F.transform("v.x", lambda v: F.when(v == 0, 0.0).otherwise(v))
+    single, single_path = store.written(good.select("vec_id", "v.label", "v.x", F.xxhash64(same).alias("h"), F.xxhash64(F.lit(1), same).alias("g")), "ann-single")
+    equal = ["label", "h", "g"]
+    folded = single.groupBy(*equal).agg(F.min("vec_id").alias("vec_id"), F.min_by("x", "vec_id").alias("x"), F.count("*").alias("weight"))
+    classes, class_path = store.written(folded.withColumn("dim", F.size("x")), "ann-classes")
+    nodes, path = store.written(classes.select("vec_id", "label", "x", "dim"), "ann-nodes")
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     most = SHARD_ROWS * MAX_CENTRES
@@ -251,18 +266,21 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
 
     lists = blocked.select(*shard, "block", "vec_id", "x").groupBy(*shard, "block").applyInArrow(build, ADJACENT)
     united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists at most
-    full, full_path = store.written(blocked.join(united, "vec_id"), "ann-graph")
+    weights = spark.read.schema(classes.schema).parquet(class_path).select("vec_id", "weight")
+    full, full_path = store.written(blocked.join(united, "vec_id").join(weights, "vec_id"), "ann-graph")
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = full.select(*shard, "block", other, "vec_id", "x", "homes", "near").select(*shard, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "x", "homes", "near")
+    carried = ["vec_id", "x", "homes", "near", "weight"]
+    paired = lambda frame, *more: frame.select(*shard, "block", other, *carried, *more).select(*shard, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *carried, *more)
 
-    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def found_in(key: tuple[pa.Scalar, ...], table: pa.Table):
+        """Links (rows a < b of the table) found in a task, and for each whether its vectors share several shards."""
         low, high = key[3].as_py(), key[4].as_py()
         ids, block = table["vec_id"].to_numpy(), table["block"].to_numpy()
         x, homes = _unit(_matrix(table["x"])), _matrix(table["homes"])
         base, ask = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(base) or not len(ask):
-            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.list_(pa.int64()))], names=LINKED.fieldNames())
+            return ids, homes, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, homes.shape[1]), dtype=bool)
         # The united lists, as far as they lead to rows of this block.
         near = table["near"].combine_chunks().take(pa.array(base))
         flat, count = near.flatten().to_numpy(), near.value_lengths().to_numpy()
@@ -276,32 +294,82 @@ def links(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col
         a, b = np.minimum(a, b), np.maximum(a, b)
         key_ = np.unique(a[a != b] * len(ids) + b[a != b])
         a, b = key_ // len(ids), key_ % len(ids)
-        # Verified in double precision; ``several``: another shard may find the link too.
-        keep, several = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
+        # Verified in double precision; which of its shards a vector shares with its partner.
+        keep, shared = np.zeros(len(a), dtype=bool), np.zeros((len(a), homes.shape[1]), dtype=bool)
         for z in range(0, len(a), 1 << 16):
             s = slice(z, z + (1 << 16))
-            shared = (homes[a[s]][:, :, None] == homes[b[s]][:, None, :]).any(2)
-            several[s] = shared.sum(1) > 1
+            shared[s] = (homes[a[s]][:, :, None] == homes[b[s]][:, None, :]).any(2)
             keep[s] = np.einsum("ij,ij->i", x[a[s]], x[b[s]]) >= least
-        a, b, several = a[keep], b[keep], several[keep]
-        n_links = np.bincount(a[~several], minlength=len(ids)) + np.bincount(b[~several], minlength=len(ids))
-        p, q = np.concatenate([a[several], b[several]]), np.concatenate([b[several], a[several]])
-        order = np.argsort(p, kind="stable")
-        n_also = np.bincount(p, minlength=len(ids))
+        return ids, homes, a[keep], b[keep], shared[keep]
+
+    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, homes, a, b, _ = found_in(key, table)
+        n, here, weight = len(ids), key[2].as_py(), table["weight"].to_numpy()
+        p, q = np.concatenate([a, b]), np.concatenate([b, a])
+        # A list of shards may name one twice, to be as long as the others; the first place counts.
+        fresh = np.ones(homes.shape, dtype=bool)
+        fresh[:, 1:] = homes[:, 1:] != homes[:, :-1]
+        shared = np.zeros((len(p), homes.shape[1]), dtype=bool)
+        for z in range(0, len(p), 1 << 16):
+            s = slice(z, z + (1 << 16))
+            shared[s] = (homes[p[s]][:, :, None] == homes[q[s]][:, None, :]).any(2) & fresh[p[s]]
+        several = shared.sum(1) > 1
+        first = homes[p, shared.argmax(1)] == here if len(p) else np.zeros(0, dtype=bool)
+        single = np.bincount(p[~several], weight[q[~several]], n).astype(np.int64)
+        counted = np.bincount(p[several & first], weight[q[several & first]], n).astype(np.int64)
+        low, high = np.minimum(ids[p], ids[q]).astype(np.uint64), np.maximum(ids[p], ids[q]).astype(np.uint64)
+        name = mix(mix(low + np.uint64(0x9E3779B97F4A7C15)) ^ high)
+        digests = []
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            d = np.zeros(n, np.uint64)
+            if j < homes.shape[1]:
+                # Links whose first shared shard is the i-th, as it finds them and as the j-th does: equal sets cancel.
+                use = several & (shared.argmax(1) == i) & shared[:, j] & ((homes[p, i] == here) | (homes[p, j] == here))
+                np.bitwise_xor.at(d, p[use], name[use])
+            digests.append(pa.array(d.view(np.int64)))
         rank = np.argsort(ids)
-        place = np.empty(len(ids), np.int64)
-        place[rank] = np.arange(len(ids))
-        head = ids[rank][heads(len(ids), place[a], place[b])][place]
-        some = n_links + n_also > 0
-        also = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_also[some])]), pa.int32()), pa.array(ids[q[order]]))
-        return pa.table([pa.array(ids[some]), pa.array(n_links[some]), pa.array(head[some]), also], names=LINKED.fieldNames())
-
-    found, _ = store.written(pairs.groupBy(*shard, "low", "high").applyInArrow(search, LINKED), "ann-links")
-    store.remove(df.sparkSession, path, placed_path, full_path)
-    also = F.size(F.array_distinct(F.flatten(F.collect_list("also"))))
-    totals = found.groupBy("vec_id").agg((F.sum("n_links") + also).alias("n_links"))
+        place = np.empty(n, np.int64)
+        place[rank] = np.arange(n)
+        head = ids[rank][heads(n, place[a], place[b])][place] if n else ids
+        some = np.zeros(n, dtype=bool)
+        some[p] = True
+        return pa.table([pa.array(ids), pa.array(single), pa.array(counted), *digests, pa.array(head)], names=LINKED.fieldNames()).filter(pa.array(some))
+
+    def partners(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, homes, a, b, shared = found_in(key, table)
+        p, q = np.concatenate([a, b]), np.concatenate([b, a])
+        ask = np.concatenate([shared.sum(1) > 1] * 2) & table["asked"].to_numpy(zero_copy_only=False)[p]
+        order = np.argsort(p[ask], kind="stable")
+        p, q = p[ask][order], q[ask][order]
+        own = np.unique(p)
+        limits = np.concatenate([np.searchsorted(p, own), [len(p)]])
+        return pa.table([pa.array(ids[own]), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids[q]))], names=PARTNERS.fieldNames())
+
+    task = [*shard, "low", "high"]
+    found, _ = store.written(paired(full).groupBy(*task).applyInArrow(search, LINKED), "ann-links")
+    summed = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.sum("n_first").alias("n_first"), *(F.bit_xor(c).alias(c) for c in DIGESTS))
+    totals, totals_path = store.written(summed, "ann-totals")
+    missed = totals.where(" OR ".join(f"{c} <> 0" for c in DIGESTS)).select("vec_id")
+    counts = totals.select("vec_id", (F.col("n_links") + F.col("n_first")).alias("n_links"))
+    again_path = None
+    if not missed.isEmpty():
+        read = spark.read.schema(full.schema).parquet(full_path)
+        marked = read.join(missed.withColumn("asked", F.lit(True)), "vec_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        places = spark.read.schema(full.schema).parquet(full_path).join(missed, "vec_id", "left_semi").select(*shard).distinct()
+        lists = paired(marked.join(places, shard, "left_semi"), "asked").groupBy(*task).applyInArrow(partners, PARTNERS)
+        # A partner's weight counts once, whichever shards found it.
+        each = lists.select("vec_id", F.explode("also").alias("partner")).distinct().join(weights.select(F.col("vec_id").alias("partner"), "weight"), "partner")
+        more = each.groupBy("vec_id").agg(F.sum("weight").alias("n_also"))
+        again, again_path = store.written(missed.join(more, "vec_id", "left").select("vec_id", F.coalesce("n_also", F.lit(0)).alias("n_also")), "ann-again")
+        counts = totals.join(again, "vec_id", "left").select("vec_id", (F.col("n_links") + F.coalesce("n_also", "n_first")).alias("n_links"))
     comps = connected(found.select(F.col("vec_id").alias("a"), F.col("head").alias("b")), "ann-comps")
-    out = rows.select("vec_id").join(totals, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    known = counts.join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "full")
+    per_class = spark.read.schema(classes.schema).parquet(class_path).select("vec_id", *equal, "weight").join(known, "vec_id", "left")
+    per_class = per_class.select(*equal, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    # The members of classes; a class of a third of all vectors is one row on the other side.
+    members, member_path = store.written(spark.read.schema(single.schema).parquet(single_path).select("vec_id", *equal).join(per_class, equal).select("vec_id", "n_links", "component"), "ann-members")
+    store.remove(spark, path, placed_path, full_path, single_path, class_path, totals_path, *([again_path] if again_path else []))
+    out = rows.select("vec_id").join(members, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

@@ -39,3 +39,31 @@ def test_link_counts_once_in_whichever_shard_finds_it(spark, monkeypatch, lost):
     df = spark.createDataFrame([(i, x[i].tolist(), 1) for i in range(30)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in annlinks.links(df).collect()}
     assert got == {i: (6, 5) if 5 <= i < 12 else (0, i) for i in range(30)}
+
+
+@pytest.mark.parametrize("copies", (60, 120))
+def test_copies_are_one_node_and_near_copies_count_by_digests(spark, monkeypatch, copies):
+    """Copies and near copies of one vector over several shards: counts are those of all pairs, the rows that tasks return those of different vectors."""
+    for name, value in (("SHARD_ROWS", 40), ("BLOCK", 30)):
+        monkeypatch.setattr(annlinks, name, value)
+    written, rows_of = annlinks.store.written, {}
+
+    def watched(df, name, *rest):
+        out = written(df, name, *rest)
+        rows_of[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(annlinks.store, "written", watched)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 12))
+    x[:90] = x[0] + rng.normal(scale=0.02, size=(90, 12))  # different, all near each other
+    x = np.concatenate([x, np.repeat(x[:1], copies, axis=0)])
+    label = [1] * 200 + [1] * (copies - 5) + [2] * 5
+    df = spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(len(x))], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in annlinks.links(df).collect()}
+    head = annlinks.heads(len(x), *np.nonzero(near))
+    assert got == {i: (int(near[i].sum()), int(head[i])) for i in range(len(x))}
+    assert rows_of["ann-classes"] == 201 and rows_of["ann-links"] <= 201 * annlinks.OVERLAP * 8
