@@ -36,6 +36,42 @@ def annotate(rows: DataFrame, row_id: str, matches: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_matches", "n_same")})
 
 
+#: Keys that may be held as heavy, and how many the sketch that finds them follows.
+HEAVY_KEYS, TRACKED_KEYS = 256, 10_000
+
+
+def overlap_counts(candidates: DataFrame, history: DataFrame, identity_fields: list[str], heavy_from: int = 10_000) -> DataFrame:
+    """(row_id, n_matches, n_same): what :func:`annotate` counts of :func:`compare_history`, without a pair for a key that many rows share.
+
+    Keys that some ``heavy_from`` history rows or more have, ``HEAVY_KEYS`` of them at most, are found by a frequent-items sketch. History rows with equal
+    sets of heavy keys are one class with a size, and so are candidates; classes that share a heavy key match as a whole. Other keys are joined row by row, and a pair
+    whose classes match already isn't counted twice. The sketch only decides which way a key goes, so a key that it misses or misjudges changes no count.
+    """
+    key = F.concat("field", F.lit("\0"), "value")
+    top = history.agg(F.expr(f"approx_top_k(concat(field, '\\0', value), {HEAVY_KEYS}, {TRACKED_KEYS})").alias("top"))
+    heavy = F.broadcast(top.select(F.inline("top")).where(F.col("count") >= heavy_from).select(F.col("item").alias("key"), F.lit(True).alias("heavy")))  # HEAVY_KEYS rows at most
+    marked = lambda t: t.select("row_id", "field", "value", key.alias("key"), F.col("field").isin(*identity_fields).alias("identity")).join(heavy, "key", "left")
+    c, h = marked(candidates), marked(history)
+    # A row's heavy keys: HEAVY_KEYS at most.
+    sets = lambda t: t.where("heavy").groupBy("row_id").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set(F.when(F.col("identity"), F.col("key")))).alias("identities"))
+    cs, hs = sets(c), sets(h)
+    asks, holds = cs.select("keys", "identities").distinct(), hs.groupBy("keys", "identities").agg(F.count("*").alias("n"))
+    met = asks.select(F.col("keys").alias("ask"), F.col("identities").alias("ask_id"), F.explode("keys").alias("key")).join(holds.select(F.col("keys").alias("hold"), F.col("identities").alias("hold_id"), "n", F.explode("keys").alias("key")), "key")
+    met = met.groupBy("ask", "hold").agg(F.max("n").alias("n"), F.max(F.arrays_overlap("ask_id", "hold_id")).alias("same"))
+    by_class = met.groupBy("ask").agg(F.sum("n").alias("n_matches"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("n_same"))
+    whole = cs.join(by_class, F.col("keys") == F.col("ask")).select("row_id", "n_matches", "n_same")
+
+    light = lambda t: t.where("heavy IS NULL")
+    pairs = light(c).join(light(h).select(F.col("row_id").alias("history_id"), "key"), "key").groupBy("row_id", "history_id").agg(F.max("identity").alias("same"))
+    none = F.array().cast("array<string>")
+    own = cs.select("row_id", F.col("keys").alias("ask"), F.col("identities").alias("ask_id"))
+    theirs = hs.select(F.col("row_id").alias("history_id"), F.col("keys").alias("hold"), F.col("identities").alias("hold_id"))
+    pairs = pairs.join(own, "row_id", "left").join(theirs, "history_id", "left").withColumns({n: F.coalesce(n, none) for n in ("ask", "ask_id", "hold", "hold_id")})
+    fresh, fresh_same = ~F.arrays_overlap("ask", "hold"), F.col("same") & ~F.arrays_overlap("ask_id", "hold_id")
+    single = pairs.groupBy("row_id").agg(F.count_if(fresh).alias("n_matches"), F.count_if(fresh_same).alias("n_same"))
+    return whole.unionByName(single).groupBy("row_id").agg(F.sum("n_matches").alias("n_matches"), F.sum("n_same").alias("n_same"))
+
+
 def equal_pairs(df: DataFrame, row_id: str, pos: str, within: list[str], keys: list[str]) -> DataFrame:
     """Earlier and later rows of a group that share a key: an aggregation and a join per key, united. A null key matches nothing.
 

@@ -23,8 +23,8 @@ def history_overlaps(t):
     """Candidates against history on several keys at once; all candidates stay."""
     keys = {"customer": F.array("o_custkey"), "price": F.array(F.floor("o_totalprice"))}
     c, h = _orders(t, False), _orders(t, True)
-    m = matching.compare_history(matching.key_rows(c, "o_orderkey", keys), matching.key_rows(h, "o_orderkey", keys), ["customer"])
-    return matching.annotate(c.select(F.col("o_orderkey").alias("row_id")), "row_id", m)
+    m = matching.overlap_counts(matching.key_rows(c, "o_orderkey", keys), matching.key_rows(h, "o_orderkey", keys), ["customer"])
+    return c.select(F.col("o_orderkey").alias("row_id")).join(m, "row_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_matches", "n_same")})
 
 
 @query("""

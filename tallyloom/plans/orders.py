@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ordering, revisions, state, timeline
+from tallyloom.operators import audit, ordering, revisions, state, timeline
 from tallyloom.plans.registry import query
 
 _PARTS = """SELECT p_partkey AS id, p_brand AS edition, p_size * 2 AS importance, p_partkey % 101 AS domestic, p_partkey % 7 * 10 AS reliability, p_partkey % 13 * 5 AS recency, p_partkey % 17 * 5 AS interest FROM part"""
@@ -206,3 +206,17 @@ def rolling_events(t):
     """Rolling items by a log of writes: first and later ones, refusals with their reason, and expiries."""
     e = t.events.select(F.col("event_id").alias("op"), F.col("user_id").alias("k"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("expected"), F.floor("value").alias("verified"), (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 2 * 6).cast("int"))).alias("published"))
     return revisions.rolling(e.withColumn("op", F.col("op").cast("string")), "k", "op", "at", "expected", "verified", "published", F.lit("2024-03-01").cast("timestamp_ntz"))
+
+
+_STORED = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_partkey % 211 <> 0"
+_DERIVED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 199 = 0 THEN l_quantity + 1 ELSE l_quantity END, l_returnflag FROM lineitem WHERE l_suppkey % 97 <> 0"
+
+
+@query(f"""
+SELECT *, 'stored' AS side FROM ({_STORED} EXCEPT ALL {_DERIVED}) UNION ALL SELECT *, 'derived' FROM ({_DERIVED} EXCEPT ALL {_STORED})""")
+def audited_drift(t):
+    """Stored lines against derived ones, by digests of ranges: rows that one side has and the other has not."""
+    l = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_partkey", "l_suppkey")
+    stored = l.where("l_partkey % 211 <> 0").drop("l_partkey", "l_suppkey")
+    derived = l.where("l_suppkey % 97 <> 0").withColumn("l_quantity", F.when(F.col("l_partkey") % 199 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).drop("l_partkey", "l_suppkey")
+    return audit.drift(stored, derived, ["l_orderkey"])
