@@ -95,3 +95,38 @@ def test_components(spark, seed):
     got = {r.node: r.component for r in connected(spark.createDataFrame(e, "a long, b long")).collect()}
     linked = {x for a, b in e if a is not None and a != b for x in (a, b)}
     assert got == {x: head[x] for x in linked}
+
+
+def test_leaves_bound_distances_and_clusters_meet_few_queries(spark, monkeypatch):
+    """Clustered vectors in many leaves: exact results, though a query is sent to a few leaves only."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 50)
+    written, sent = vptree.store.written, {}
+
+    def watched(df, name, *rest):
+        out = written(df, name, *rest)
+        sent[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(vptree.store, "written", watched)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(16, 12))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = centre[np.arange(1600) % 16] + rng.normal(scale=0.01, size=(1600, 12))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(1600)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(df, k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.arange(1600)
+    for q in range(0, 1600, 20):
+        s = np.add.accumulate(x * x[q], axis=1)[:, -1]
+        order = [k for k in np.lexsort((ids, -s)) if k != q][:7]
+        assert sorted(got[q]) == [(n + 1, k, s[k]) for n, k in enumerate(order)]
+    assert sent["vp-first-asked"] == 80 * vptree.FIRST and sent["vp-rest-asked"] < 80 * 32 / 3
+
+    top = vptree.Top(x[rng.choice(1600, 800, replace=False)], 20)
+    d = top.distances(x)
+    leaf = top.leaves(d)
+    rings = {k: [(d[leaf == k][:, n].min(), d[leaf == k][:, n].max()) for n in path] for k, path in enumerate(top.paths) if (leaf == k).any()}
+    bound = top.bounds(top.distances(x[:50]), rings)
+    away = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
+    assert all(bound[q, leaf[i]] <= away[q, i] + 1e-6 for q in range(50) for i in range(1600))
