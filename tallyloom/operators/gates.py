@@ -41,6 +41,10 @@ LEAD_RULE_CHANGED = "2026-10-19-pm"
 Rules = dict[str, Column]
 
 
+# The longest quotation of a page.
+QUOTED_CHARACTERS = 1000
+
+
 def given(c: Column) -> Column:
     """Text that isn't blank."""
     return F.coalesce(F.trim(c) != "", F.lit(False))
@@ -163,6 +167,64 @@ def rolling_item(now: Column, least: int = 10) -> Rules:
     }
 
 
+def rolling_media(last: Column) -> Rules:
+    """What a rolling post quotes and shows: original_text, sources (url, quotes), image_url, video_url, poster_url, images (url, width, height; null: none),
+    images_source, images_at. Lengths count characters; a media URL may be null or empty."""
+    none = F.array().cast("array<string>")
+    size = lambda texts: F.aggregate(F.coalesce(texts, none), F.lit(0), lambda n, q: n + F.length(q))
+    optional = lambda c: F.coalesce(F.col(c) == "", F.lit(True)) | urls.is_public(F.col(c))
+    shown = F.col("images").isNotNull()
+    return {
+        "original_text": F.coalesce(F.length("original_text"), F.lit(0)) <= QUOTED_CHARACTERS,
+        "source_quotes": every(F.col("sources"), lambda s: size(s["quotes"]) <= QUOTED_CHARACTERS),
+        "image_url": optional("image_url"),
+        "video_url": optional("video_url"),
+        "poster_url": optional("poster_url"),
+        **{name: ~shown | F.coalesce(rule, F.lit(False)) for name, rule in body_images(F.col("images"), F.col("images_source"), F.transform("sources", lambda s: s["url"])).items()},
+        "images_verified": ~shown | (F.col("images_at") <= last),
+    }
+
+
+def story_dates(cutoff: Column) -> Rules:
+    """When a story was published: published_at, or else published_date (text) and published_zone; sources (published_at, published_date, published_zone), fallback_note.
+
+    A date alone counts from its start where age is judged, and must be over by the cut-off."""
+    at, day, zone = F.col("published_at"), times.real_date(F.col("published_date")), F.col("published_zone")
+    start = F.coalesce(at, day.cast("timestamp_ntz"))
+    backed = lambda s: F.coalesce(s["published_at"] == at, F.lit(False))
+    dated = lambda s: F.coalesce((s["published_date"] == F.col("published_date")) & (s["published_zone"] == times.ZONE), F.lit(False))
+    only = at.isNull()
+    return {
+        "time_backed": only | F.exists("sources", backed),
+        "date_given": ~only | day.isNotNull(),
+        "date_zone": ~only | (zone == times.ZONE),
+        "date_backed": ~only | F.exists("sources", dated),
+        "date_over": ~only | times.date_wholly_before(day, cutoff),
+        "not_ahead": start <= cutoff,
+        "not_old": start >= cutoff - F.expr("INTERVAL 72 HOURS"),
+        "older_labelled": (F.to_date(start) >= F.to_date(cutoff)) | given(F.col("fallback_note")),
+    }
+
+
+def edition_event(day: Column, half: Column, scheduled: Column, generated: Column, cutoff: Column) -> Rules:
+    """An event that an edition announces: date (text), title, detail, event_at, time_note, source (url, published_at, verified_at). A morning's events are
+    that day's, an evening's the next day's."""
+    target = F.when(half == "am", day).otherwise(F.date_add(day, 1))
+    at, source = F.col("event_at"), F.col("source")
+    return {
+        "event_date": times.real_date(F.col("date")) == target,
+        "event_texts": given(F.col("title")) & given(F.col("detail")),
+        "event_ahead": at.isNull() | ((at > scheduled) & (F.to_date(at) == target)),
+        "event_time_known": at.isNotNull() | given(F.col("time_note")),
+        "event_source": urls.canonical_ordered(source["url"]).isNotNull() & times.verified_in_time(source["verified_at"], source["published_at"], generated, cutoff, single_run=True),
+    }
+
+
+def keywords() -> Rules:
+    """An edition's keywords, if it has any: texts that aren't empty."""
+    return {"keywords": F.col("keywords").isNull() | every(F.col("keywords"), lambda k: k != "")}
+
+
 def body_images(images: Column, source_url: Column, sources: Column) -> Rules:
     """``images``: array of (url, width, height); ``sources``: the verified URLs."""
     return {

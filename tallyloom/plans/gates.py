@@ -645,3 +645,121 @@ def reader_gate(t):
         F.array(F.struct(url.alias("source_url"), now.alias("observed_at"), F.col("value").cast("double").alias("value"))).alias("observations"), F.array(F.struct(url.alias("url"), "width", F.lit(2).alias("height"))).alias("images"),
     )
     return _counted(rows, gates.reader_item())
+
+
+_MEDIA = {
+    "k": "doc_id",
+    "text": "text",
+    "image_url": "CASE doc_id % 6 WHEN 0 THEN 'ftp://img.example.com/a' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE concat('https://img.example.com/', n_chars) END",
+    "video_url": "CASE WHEN doc_id % 9 = 0 THEN 'https://localhost/v' ELSE NULL END",
+    "poster_url": "CASE WHEN doc_id % 8 = 0 THEN 'no url' ELSE 'https://img.example.com/p' END",
+    "shown": "doc_id % 3 > 0",
+    "width": "CAST(n_chars % 7 AS BIGINT)",
+    "images_source": "CASE WHEN doc_id % 5 = 0 THEN 'https://other.example.com/' ELSE 'https://a.example.com/' END",
+    "late": "CAST(n_chars % 4 AS INT)",
+}
+
+
+@query(
+    _twin(
+        "documents",
+        _MEDIA,
+        {
+            "original_text": "text IS NULL OR length(text) <= 1000",
+            "source_quotes": "2 * least(length(text), 700) <= 1000",
+            "image_url": "coalesce(image_url, '') = '' OR starts_with(image_url, 'https://img.example.com/')",
+            "video_url": "video_url IS NULL",
+            "poster_url": "poster_url <> 'no url'",
+            "image_source": "NOT shown OR images_source = 'https://a.example.com/'",
+            "image_size": "NOT shown OR width > 0",
+            "image_unique": "NOT shown OR width <> 3",
+            "images_verified": "NOT shown OR late <= 2",
+        },
+    )
+)
+def rolling_media_gate(t):
+    """What rolling posts quote and show: lengths of quotations (the documents' own texts), media URLs, body images."""
+    last = _now()
+    image = lambda url: F.struct(url.alias("url"), F.col("width"), F.lit(3).cast("long").alias("height"))
+    second = F.concat(F.lit("https://img.example.com/b"), F.when(F.col("width") == 3, "").otherwise("2"))
+    images = F.when(F.col("shown"), F.array(image(F.lit("https://img.example.com/b")), image(second)))
+    quote = F.substring("text", 1, 700)
+    source = F.struct(F.lit("https://a.example.com/").alias("url"), F.array(quote, quote).alias("quotes"))
+    rows = _frame(t, "documents", _MEDIA).select("k", F.col("text").alias("original_text"), F.array(source).alias("sources"), "image_url", "video_url", "poster_url", images.alias("images"), "images_source", (last + F.make_dt_interval(hours=F.col("late") - 2)).alias("images_at"))
+    return _counted(rows, gates.rolling_media(last))
+
+
+_DATED = {
+    "k": "event_id",
+    "ts": "ts",
+    "dated": "event_id % 2 = 0",
+    "zone": "CASE WHEN event_id % 7 = 0 THEN 'UTC' WHEN event_id % 11 = 0 THEN NULL ELSE 'Asia/Seoul' END",
+    "broken": "event_id % 13 = 0",
+    "backed": "event_id % 5 <> 0",
+    "note": "CASE WHEN event_id % 3 = 0 THEN 'older' ELSE NULL END",
+}
+_START = "CASE WHEN dated THEN CASE WHEN broken THEN NULL ELSE date_trunc('day', ts) END ELSE ts END"
+
+
+@query(
+    _twin(
+        "events",
+        _DATED,
+        {
+            "time_backed": "dated OR backed",
+            "date_given": "NOT dated OR NOT broken",
+            "date_zone": "NOT dated OR zone = 'Asia/Seoul'",
+            "date_backed": "NOT dated OR (backed AND zone = 'Asia/Seoul')",
+            "date_over": "NOT dated OR (NOT broken AND date_trunc('day', ts) + INTERVAL 1 DAY <= TIMESTAMP '2024-01-15 21:00:00')",
+            "not_ahead": f"{_START} <= TIMESTAMP '2024-01-15 21:00:00'",
+            "not_old": f"{_START} >= TIMESTAMP '2024-01-12 21:00:00'",
+            "older_labelled": f"coalesce({_START} >= TIMESTAMP '2024-01-15 00:00:00', false) OR note IS NOT NULL",
+        },
+    )
+)
+def dated_story_gate(t):
+    """Stories with a time or only a date: backed by a source, over by the cut-off, at most three days old, labelled if older than the day."""
+    day = F.when(F.col("broken"), F.lit("2024-02-30")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    null = F.lit(None)
+    own = F.struct(F.when(F.col("backed"), F.col("ts")).alias("published_at"), F.when(F.col("backed"), day).otherwise("2020-01-01").alias("published_date"), F.col("zone").alias("published_zone"))
+    rows = _frame(t, "events", _DATED).select("k", F.when(~F.col("dated"), F.col("ts")).alias("published_at"), F.when(F.col("dated"), day).alias("published_date"), F.when(F.col("dated"), F.col("zone")).alias("published_zone"), F.array(own).alias("sources"), F.coalesce("note", null).alias("fallback_note"))
+    return _counted(rows, gates.story_dates(F.expr("TIMESTAMP_NTZ'2024-01-15 21:00:00'")))
+
+
+_ANNOUNCED = {
+    "k": "event_id",
+    "ts": "ts",
+    "half": "CASE WHEN event_id % 2 = 0 THEN 'am' ELSE 'pm' END",
+    "title": "CASE WHEN event_id % 9 = 0 THEN '  ' ELSE event_type END",
+    "timed": "event_id % 4 <> 0",
+    "note": "CASE WHEN event_id % 8 = 0 THEN 'evening' ELSE NULL END",
+    "url": "CASE WHEN event_id % 6 = 0 THEN 'https://me@example.com/' ELSE 'https://example.com/e' END",
+    "early": "CAST(event_id % 5 AS INT)",
+    "word": "CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END",
+}
+_TARGET = "(CASE WHEN half = 'am' THEN DATE '2024-01-15' ELSE DATE '2024-01-16' END)"
+_OPENS = "(CASE WHEN half = 'am' THEN TIMESTAMP '2024-01-15 09:00:00' ELSE TIMESTAMP '2024-01-15 21:00:00' END)"
+
+
+@query(
+    _twin(
+        "events",
+        _ANNOUNCED,
+        {
+            "event_date": f"CAST(ts AS DATE) = {_TARGET}",
+            "event_texts": "trim(title) <> ''",
+            "event_ahead": f"NOT timed OR (ts > {_OPENS} AND CAST(ts AS DATE) = {_TARGET})",
+            "event_time_known": "timed OR note IS NOT NULL",
+            "event_source": "url = 'https://example.com/e' AND early <= 3",
+            "keywords": "word <> ''",
+        },
+    )
+)
+def announced_event_gate(t):
+    """Events that an edition announces, and its keywords: on the day that it is for, still ahead, from a source checked in time."""
+    stamp = lambda s: F.expr(f"TIMESTAMP_NTZ'{s}'")
+    scheduled = F.when(F.col("half") == "am", stamp("2024-01-15 09:00:00")).otherwise(stamp("2024-01-15 21:00:00"))
+    made = scheduled + F.expr("INTERVAL 3 HOURS")
+    source = F.struct("url", scheduled.alias("published_at"), (made - F.make_dt_interval(hours="early")).alias("verified_at"))
+    rows = _frame(t, "events", _ANNOUNCED).select("k", "half", F.date_format("ts", "yyyy-MM-dd").alias("date"), "title", F.lit("detail").alias("detail"), F.when(F.col("timed"), F.col("ts")).alias("event_at"), F.col("note").alias("time_note"), source.alias("source"), F.array("word").alias("keywords"))
+    return _counted(rows, gates.edition_event(F.lit("2024-01-15").cast("date"), F.col("half"), scheduled, made, scheduled) | gates.keywords())
