@@ -27,7 +27,7 @@ Defined cases. A vector that is null, zero, empty, holds a null or a non-finite
 component, or has a null label links with nothing: 0 links, its own class. A null
 id: null class, kept. Rows repeated under one id are one vector (least label, then
 least array) and a row of the result each. Vectors of different length never link.
-Empty table: no rows. Extra columns are ignored.
+Among equally near centres or neighbours the one of the smaller id comes first. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ round of array operations merges the lowest-ranked pair of every slice at once.
 
 Null text: an empty text with no ids. Null ids and repeated rows: each row is
 treated alone. Extra columns are ignored. A text of any length is encoded whole.
+Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -46,7 +46,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{store.shared_dir(spark)}/token-ids-{store.uuid.uuid4().hex}"
+    path = store.folder(spark, "token-ids")
     tokenfile.write(tokenfile.encoded(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=2), path)
     return tokenfile.digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 

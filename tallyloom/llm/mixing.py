@@ -19,7 +19,7 @@ shared again by weight until none is above.
 Null text: 0 words. Null source: a source of its own, last. A null id mixes like any
 other row; rows of equal id are ordered by their text's hash, and equal rows are drawn
 each on its own. An empty table gives no rows. A source without words has target 0.
-Extra columns are ignored by :func:`mix` and kept by :func:`materialise`, whatever their
+Words of whole texts count, however long they are. Extra columns are ignored by :func:`mix` and kept by :func:`materialise`, whatever their
 names. More than ``MAX_SOURCES`` sources are refused: their list is a plan on the driver.
 """
 

@@ -16,7 +16,8 @@
 Null or empty text: no words. Null id: matched among the others like any id; each
 text of null id for itself. Rows repeated under one id are copies of each other where
 their texts are equal, and apart where they differ. Texts shorter than the window are
-kept. Empty table: no rows. Extra columns are ignored. The id -2**62 stands for null
+kept; texts of any length are read whole. Of equal windows none has precedence: all
+of them go. Empty table: no rows. Extra columns are ignored. The id -2**62 stands for null
 inside and comes back as null.
 """
 

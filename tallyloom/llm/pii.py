@@ -21,7 +21,8 @@ single spaces, hyphens or dots, whole words only.
 
 Null text: an empty text, so no spans and masked null stays null. Null ids,
 repeated rows and ties need no special care: each row is treated alone. Extra
-columns are ignored by :func:`detect` and kept by :func:`mask`.
+columns are ignored by :func:`detect` and kept by :func:`mask`. Empty table: no rows. Texts are
+read whole, however long: each must fit in a task as a row does.
 """
 
 from __future__ import annotations

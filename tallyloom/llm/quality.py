@@ -11,7 +11,7 @@ never inputs. Training rows are a bounded sample of the labelled rows
 covers all rows.
 
 Null or empty text: its statistics are zero and it is scored like any other.
-Null ids: scored, never trained on; ``held_out`` is null. A label row that is
+Null ids: scored, never trained on; ``held_out`` is null. Texts are read whole, however long. Empty table: no rows. A label row that is
 null, not 0 or 1, or contradicts another of its id is left out of training.
 With labels of one class only, or none, every text gets that class's (or
 label 1's) score. Repeated rows are scored alike. Extra columns are ignored.

@@ -53,6 +53,13 @@ def written(df: DataFrame, name: str, release: bool = True) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what an operator writes there itself; :func:`clear` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _live.add(path)
+    return path
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediates that no live frame reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

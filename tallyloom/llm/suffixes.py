@@ -11,8 +11,8 @@ Each byte covered by a ``threshold``-byte string that also starts earlier is rem
 Null or empty text: no bytes, nothing removed. Null id: the row is returned
 unchanged and takes no part in matching. Rows repeated under one id are at one
 place, so neither is earlier than the other; where their texts differ, each loses
-only what is repeated in it. Texts shorter than the threshold are kept. Empty table:
-no rows. Extra columns are ignored.
+only what is repeated in it. Texts shorter than the threshold are kept; texts of any
+length are read whole. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

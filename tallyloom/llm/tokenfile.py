@@ -12,7 +12,8 @@ spans one, so the ids are those of the whole text. Distinct words are encoded
 once and kept in a bounded cache.
 
 Null text: no ids but the end id. A null id sorts first; rows of equal id are
-ordered by text. Extra columns are ignored. No text is cut.
+ordered by text, and rows equal in both in either order, which gives the same files. Extra columns are
+ignored. No text is cut, however long. Empty table: no rows and no ids.
 """
 
 from __future__ import annotations
