@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and reread as the next stage's ``docs``. All but the last return the columns
 of ``documents``. A trained classifier can't be stated in SQL, so there is no
 ``ORACLE_SQL``; tests compare every stage with a brute-force version.
+
+Defined cases, for all stages: a null text is an empty one (and stays null where the row does); texts
+are read whole, however long; each row with a null id is a document of its own; repeated rows are near duplicates of
+each other, of which one stays; an empty table gives no rows; other columns, whatever their names, are carried along up to the
+last stage, which leaves them out.
 """
 
 from __future__ import annotations
