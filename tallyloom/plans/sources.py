@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text, times, urls
-from tallyloom.operators import counting, publication, views
+from tallyloom.operators import archive, counting, publication, views
 from tallyloom.plans.registry import query
 from tallyloom.sources import readers
 
@@ -117,3 +117,22 @@ def url_scalars(t):
     """Fragments and bare ids."""
     k = F.col("event_id")
     return t.events.select(k.alias("k"), urls.without_fragment(F.concat(F.lit("https://host.com/"), k, F.lit("?a=1#x"))).alias("no_fragment"), F.when(k % 3 == 0, F.concat(F.lit("-"), urls.bare_identity(F.concat(F.lit("aagag_"), k % 7, F.lit("-3"))))).alias("bare"))
+
+
+_NOTED = """SELECT CAST(conv_id AS VARCHAR) AS slot, conv_id * 100 + turn AS line_start, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, 'k' || (conv_id + turn) % 9 AS issue_key, CASE (conv_id + turn) % 9 WHEN 4 THEN '웹툰 산업' ELSE 'c' || (conv_id + turn) % 3 END AS category,
+ '[' || role || '] ' || text || ' ' || turn || '~' || conv_id || '명' || CASE WHEN turn % 2 = 0 THEN ' 확인: Site ' || conv_id || '.' ELSE '' END AS said, trim(text || ' ' || turn || '~' || conv_id || '명') AS clean FROM conversations"""
+
+
+@query(f"""
+WITH r AS ({_NOTED}), t AS (SELECT *, 'archive-' || lpad(CAST(ordinal AS VARCHAR), 2, '0') AS id, rtrim(CASE WHEN regexp_matches(clean, '^(?s).*?[.。][ \\n\\t\\r]') THEN regexp_extract(clean, '^(?s)(.*?[.。])[ \\n\\t\\r]', 1) ELSE clean END, '.') AS title FROM r WHERE issue_key <> 'k8')
+SELECT slot, id, category, title, md5(clean) AS summary, turn_numbers AS emphasis, sources, lag(slot || '/' || id) OVER (PARTITION BY issue_key ORDER BY line_start) AS previous FROM (SELECT *, array_to_string(regexp_extract_all(clean, '[+−-]?\\d[\\d,.]*(?:~[\\d,.]+)?(?:%p|%|배|억원|조원|억달러|만달러|달러|원|명|건|곳|장|TB)')[1:6], ' ') AS turn_numbers, CASE WHEN contains(said, '확인:') THEN 'Site ' || slot ELSE '' END AS sources FROM t)""")
+def archived_stories(t):
+    """Stories of an archive's records by a reviewed map; records whose issue the map doesn't know have none."""
+    k, n = F.col("conv_id"), F.col("turn")
+    said = F.concat(F.lit("["), "role", F.lit("] "), "text", F.lit(" "), n, F.lit("~"), k, F.lit("명"), F.when(n % 2 == 0, F.concat(F.lit(" 확인: Site "), k, F.lit("."))).otherwise(""))
+    records = t.conversations.select(k.cast("string").alias("slot"), said.alias("text"), (k * 100 + n).alias("line_start"), (k * 100 + n).alias("line_end"), F.concat(F.lit("k"), (k + n) % 9).alias("issue_key"))
+    assigned = archive.numbered(records).select("slot", "ordinal", "issue_key")
+    c = (k + n) % 9
+    issues = t.conversations.select(F.concat(F.lit("k"), c).alias("issue_key"), F.concat(F.lit("i"), c).alias("issue_id"), F.concat(F.lit("Issue "), c).alias("issue_title"), F.when(c == 4, "웹툰 산업").otherwise(F.concat(F.lit("c"), (k + n) % 3)).alias("category"), F.lit("context").alias("context")).where("issue_key <> 'k8'").distinct()
+    s = archive.stories(records.drop("issue_key"), assigned, issues)
+    return s.select("slot", "id", "category", "title", F.md5(F.element_at("summary", 1)).alias("summary"), F.array_join("emphasis", " ").alias("emphasis"), F.array_join("archive.names", ",").alias("sources"), F.concat_ws("/", "previous.slot", "previous.story_id").alias("prev")).withColumn("previous", F.nullif("prev", F.lit(""))).drop("prev")

@@ -78,6 +78,16 @@ def read_journaled(spark: SparkSession, path: str, name: str, schema=None) -> Da
     return Journal(spark, path).read(name, schema)
 
 
+def replace_outputs(spark: SparkSession, path: str, batch: str, outputs: dict[str, DataFrame]) -> None:
+    """Several outputs of one export, replaced together: all are staged first, and readers of :func:`current_output` see the old ones until all new ones are there."""
+    write_journaled(spark, path, batch, outputs)
+
+
+def current_output(spark: SparkSession, path: str, name: str, schema=None) -> DataFrame:
+    """An output of the export that is done last (the greatest batch name that has it)."""
+    return Journal(spark, path).read(name, schema, latest=True).drop("batch")
+
+
 def write_publication(spark: SparkSession, roots: list[str], batch: str, stories: DataFrame, entries: DataFrame, index: DataFrame) -> None:
     """An edition, its issues' entries and the index, data before index, into each of several trees."""
     for root in roots:

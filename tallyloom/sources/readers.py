@@ -28,7 +28,7 @@ def stories(edition_rows: DataFrame) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): a text file is read whole, so that line numbers hold."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "line"))
     return whole.select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 
@@ -104,9 +104,10 @@ def page_title(page: Column) -> Column:
 CHALLENGE_TITLES = r"(?i)just a moment|attention required|access denied|captcha|verify.*human|403 forbidden"
 
 
-def is_challenge(page: Column) -> Column:
-    """A page that asks for proof in place of its content."""
-    return F.coalesce(page_title(page).rlike(CHALLENGE_TITLES), F.lit(False))
+def is_challenge(page: Column, header: Column | None = None) -> Column:
+    """A page that asks for proof in place of its content, by its title or by the answer's ``cf-mitigated`` header."""
+    said = F.coalesce(page_title(page).rlike(CHALLENGE_TITLES), F.lit(False))
+    return said if header is None else said | F.coalesce(F.lower(header) == "challenge", F.lit(False))
 
 
 def links(page: Column) -> Column:
