@@ -12,7 +12,9 @@ def operations(log: DataFrame, op_id: str, digest: str) -> DataFrame:
 
 
 def revision_checks(log: DataFrame, key: str, order: list[str], expected: str, verified: str, fixed: list[str]) -> DataFrame:
-    """Each write checked against the one before: expected revision, no step back in time, fixed fields unchanged."""
+    """Each write of a log of accepted writes checked against the one before: expected revision, no step back in time, fixed fields unchanged.
+
+    Where writes may have been refused, :func:`revisions.attempted_writes` says which revision each of them found."""
     w = Window.partitionBy(key).orderBy(*order)
     current = F.row_number().over(w) - 1
     same = F.lit(True)
