@@ -235,12 +235,13 @@ def unique_lookup(rows: DataFrame, target: DataFrame, on: list[str]) -> DataFram
 
 def by_precedence(rows: DataFrame, key: str, sources: dict[str, DataFrame]) -> DataFrame:
     """Each key with the first source that has it, else ``missing``: one aggregation of all sources' keys, and one join."""
-    names, found = F.array(*map(F.lit, sources)), None
+    names, found = F.array(*map(F.lit, (*sources, "missing"))), None
     for place, s in enumerate(sources.values(), 1):
         part = s.select(key, F.lit(place).alias("_place"))
         found = part if found is None else found.unionByName(part)
     best = found.groupBy(key).agg(F.min("_place").alias("_place"))
-    return rows.join(best, key, "left").withColumn("found_in", F.coalesce(F.element_at(names, F.col("_place")), F.lit("missing"))).drop("_place")
+    # The place is filled in before the lookup: Spark holds ``element_at`` of an array without nulls for not null, whatever its index is, and drops a later ``coalesce``.
+    return rows.join(best, key, "left").withColumn("found_in", F.element_at(names, F.coalesce("_place", F.lit(len(sources) + 1)))).drop("_place")
 
 
 def allowed_by_rules(urls: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:

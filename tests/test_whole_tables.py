@@ -68,3 +68,10 @@ def test_registry_conflicts_of_all_ids(run):
     want = [(1, 2, "topic"), (2, 1, "topic"), (9, 1, "topic"), (2, 3, "url"), (3, 2, "url"), (4, 5, "url"), (5, 4, "url")]
     want[0] = (1, 9, "topic")  # of the smallest id's conflicts, the greatest
     assert sorted(run("registry_conflicts", supplier=(rows, "s_suppkey long, s_nationkey int, s_acctbal double"))) == sorted(want)
+
+
+def test_edition_source_of_keys_in_no_source(run):
+    customers = [(i,) for i in range(6)], "c_custkey long"
+    orders = [(0, "P"), (0, "F"), (2, "O"), (2, "F"), (4, "F"), (None, "P")], "o_custkey long, o_orderstatus string"
+    want = [(0, "snapshot"), (1, "missing"), (2, "window"), (3, "missing"), (4, "archive"), (5, "missing")]
+    assert sorted(run("edition_source", customer=customers, orders=orders)) == want
