@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import similarity_from
+from tallyloom.operators import alike
 
 
 def key_rows(df: DataFrame, row_id: str, keys: dict[str, Column]) -> DataFrame:
@@ -126,7 +126,7 @@ def _rarest(tokens: DataFrame, freq: DataFrame) -> DataFrame:
 def candidate_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float) -> DataFrame:
     """(left_id, right_id), the md5 of texts: all pairs of different texts that can be ``least`` alike, from an inverted index on rare q-grams.
 
-    Lengths must allow the ratio; a common token must stand no further from its place than the characters that remain
+    For texts whose rarest q-grams tell them apart; those of titles don't, so :func:`similar_pairs` compares blocks. Lengths must allow the ratio; a common token must stand no further from its place than the characters that remain
     unmatched; and so many tokens must be common among the rarest of both. No pair that is ``least`` alike is lost.
     """
     a, b = _titles(left, left_text), _titles(right, right_text)
@@ -145,17 +145,13 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_text: str, right_tex
 def similar_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float, min_length: int = 0) -> DataFrame:
     """(``left_text``, ``right_text``, ratio): distinct texts of both sides that are at least ``least`` alike, left first; equal texts too.
 
-    No block is needed: candidates come from :func:`candidate_pairs`, then the multisets of characters and of neighbours bound the ratio, and
-    only what is left is compared. Null and empty texts match nothing. One title repeated by many rows is one text.
+    Blocks of texts are compared by :func:`tallyloom.operators.alike.alike`. Null and empty texts match nothing. One title repeated by many rows is one text.
     """
-    a, b = _titles(left, left_text).where(F.col("size") >= F.greatest(F.lit(1), F.lit(min_length))), _titles(right, right_text).where("size > 0")
-    pairs = candidate_pairs(left.where(F.length(left_text) >= min_length), right, left_text, right_text, least)
-    texts = pairs.join(a.select(F.col("id").alias("left_id"), F.col("t").alias(left_text)), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("t").alias(right_text)), "right_id").select(left_text, right_text)
-    # By a number: few bytes of texts are much work, which adaptive execution would put in one task.
-    texts = texts.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), right_text, left_text)
-    alike = texts.withColumn("ratio", similarity_from(least).asNondeterministic()(left_text, right_text)).where(F.col("ratio") >= least)
-    equal = a.select("id", F.col("t").alias(left_text)).join(b.select("id", F.col("t").alias(right_text)), "id").select(left_text, right_text, F.lit(1.0).alias("ratio"))
-    return alike.unionByName(equal)
+    side = lambda df, c, asks, size: df.select(F.col(c).alias("t"), F.lit(asks).alias("asks"), F.lit(not asks).alias("holds")).where(F.length("t") >= size)
+    both = side(left, left_text, True, max(1, min_length)).unionAll(side(right, right_text, False, 1))
+    texts = both.groupBy("t").agg(F.max("asks").alias("asks"), F.max("holds").alias("holds"))
+    pairs = alike.alike(texts, least).select(F.col("asked").alias(left_text), F.col("other").alias(right_text), "ratio")
+    return pairs.unionByName(texts.where("asks AND holds").select(F.col("t").alias(left_text), F.col("t").alias(right_text), F.lit(1.0).alias("ratio")))
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, on: list[str], left_text: str, right_text: str, least: float, min_length: int = 0) -> DataFrame:

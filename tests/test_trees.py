@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import matching
+from tallyloom.operators import alike, matching
 from tallyloom.sources import trees
 from tallyloom.sources.readers import UNSEEN, VOID
 
@@ -130,3 +130,23 @@ def test_index_loses_no_alike_pair(spark, monkeypatch, least, common):
     longer = matching.similar_pairs(left, right, "l", "r", least, min_length=12).select("l").distinct().collect()
     assert all(len(r.l) >= 12 for r in longer)
     assert matching.similar_pairs(left.where("false"), right, "l", "r", least).count() == 0
+
+
+@pytest.mark.parametrize("block", (3, 40))
+def test_blocks_lose_no_alike_pair(spark, monkeypatch, block):
+    """Lengths with more texts than a block holds, and all lengths that may meet."""
+    monkeypatch.setattr(alike, "BLOCK", block)
+    made = sorted({t for t in texts(5, 150) if t})
+    rows = spark.createDataFrame([(t, k % 3 != 0, k % 4 != 0) for k, t in enumerate(made)], "t string, asks boolean, holds boolean")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    want = [(x, y, ratio(x, y)) for k, x in enumerate(made) for n, y in enumerate(made) if k != n and k % 3 and n % 4 and ratio(x, y) >= 0.82]
+    assert want and sorted(tuple(r) for r in alike.alike(rows, 0.82).collect()) == sorted(want)
+
+
+def test_blocks_rule_out_most_pairs():
+    """Of random texts of 44 characters, of which the index on neighbours left a tenth, next to nothing is left; of edited copies, all are."""
+    rng = random.Random(7)
+    made = ["".join(rng.choice(("th", "er", "in", "on", "an", "re", "he", "nd", "ou", "st", "ing", "en")) for _ in range(40))[:44] for _ in range(300)]
+    edited = [t[:10] + "zz" + t[10:30] + t[33:] + "q" for t in made]
+    i, j = alike.possible(made, edited, 0.82)
+    assert {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist())) and len(i) < 400
