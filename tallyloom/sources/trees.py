@@ -15,7 +15,6 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +32,9 @@ TITLE_LENGTH = 300
 
 
 class _Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, written: bool):
         super().__init__(convert_charrefs=True)
+        self.written = written
         self.nodes: list[list] = []
         self.open: list[int] = []
 
@@ -58,7 +58,8 @@ class _Tree(HTMLParser):
             self._end(at)
 
     def handle_data(self, data):
-        self._add(TEXT, {}, data)
+        raw = self.cdata_elem is not None and not getattr(self, "_escapable", False)  # scripts and the like: no references there
+        self._add(TEXT, {}, data.replace("&amp;", "&") if self.written and raw else data)
 
     def _end(self, at: int) -> None:
         for n in self.open[at:]:
@@ -73,23 +74,25 @@ def _link(base: str | None, ref: str) -> str | None:
         return None
 
 
-@F.pandas_udf(T.ArrayType(NODE))
-def _nodes(page: pd.Series, base: pd.Series) -> pd.Series:
-    def one(source, url):
+def _parsed(written: bool):
+    # Row by row: a page's nodes take many times its size, so no batch of them is held but the 100 rows that Spark pickles at once.
+    @F.udf(T.ArrayType(NODE), useArrow=False)
+    def run(source, url):
         if source is None:
             return None
-        tree = _Tree()
-        tree.feed(source)
+        tree = _Tree(written)
+        tree.feed(source.replace("&", "&amp;") if written else source)
         tree.close()
         tree._end(0)
-        return [dict(zip(NODE.fieldNames(), (*n, _link(url, n[5].get("href", "")) if n[4] == "a" else None))) for n in tree.nodes]
+        return [(*n, _link(url, n[5].get("href", "")) if n[4] == "a" else None) for n in tree.nodes]
 
-    return pd.Series([one(p, b) for p, b in zip(page, base)], dtype=object)
+    return run
 
 
-def nodes(page: Column | str, base: Column | str | None = None) -> Column:
-    """The nodes of a page in document order; ``base`` is its own URL, against which links are read (null where one can't be)."""
-    return _nodes(page, F.lit(None).cast("string") if base is None else base)
+def nodes(page: Column | str, base: Column | str | None = None, written: bool = False) -> Column:
+    """The nodes of a page in document order; ``base`` is its own URL, against which links are read (null where one can't be). Texts and attributes have
+    their character references decoded, or stand as they are ``written``."""
+    return _parsed(written)(page, F.lit(None).cast("string") if base is None else base)
 
 
 def has_class(node: Column, name: str) -> Column:

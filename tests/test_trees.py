@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import alike, matching
-from tallyloom.sources import trees
+from tallyloom.sources import readers, trees
 from tallyloom.sources.readers import UNSEEN, VOID
 
 PAGES = [
@@ -150,3 +150,18 @@ def test_blocks_rule_out_most_pairs():
     edited = [t[:10] + "zz" + t[10:30] + t[33:] + "q" for t in made]
     i, j = alike.possible(made, edited, 0.82)
     assert {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist())) and len(i) < 400
+
+
+def test_pages_are_parsed_row_by_row(spark):
+    """No batch of pages' nodes or texts is held, as it would be in a vectorised function."""
+    pages = spark.createDataFrame([(1, "<p>a")], "page_id long, html string")
+    for parsed in (trees.nodes("html"), readers.visible_text("html")):
+        plan = pages.select(parsed)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
+def test_texts_as_written(spark):
+    page = "<h1 title='a&amp;b'>x &amp; &quot;y &copy &#65; &amp</h1><script>a &amp; b && c</script>"
+    tree = spark.createDataFrame([(page,)], "html string").select(trees.nodes("html", written=True)).first()[0]
+    assert [n.text for n in tree if n.text] == ["x &amp; &quot;y &copy &#65; &amp", "a &amp; b && c"]
+    assert tree[0].attrs == {"title": "a&amp;b"}
