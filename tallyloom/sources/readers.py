@@ -81,19 +81,16 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf(T.StringType())
-def visible_text(page: pd.Series) -> pd.Series:
+# Row by row, so that no more pages are held than the 100 that Spark pickles at once.
+@F.udf(T.StringType(), useArrow=False)
+def visible_text(source):
     """Text of a page as a reader sees it, white space collapsed."""
-
-    def one(source):
-        if source is None:
-            return None
-        p = _Text()
-        p.feed(source)
-        p.close()
-        return " ".join("".join(p.out).split())
-
-    return page.map(one)
+    if source is None:
+        return None
+    p = _Text()
+    p.feed(source)
+    p.close()
+    return " ".join("".join(p.out).split())
 
 
 def page_title(page: Column) -> Column:
