@@ -26,7 +26,11 @@ def part(u: Column, i: int) -> Column:
 
 def host(u: Column) -> Column:
     """Lower-case host without user information and port."""
-    return F.lower(F.regexp_replace(F.regexp_replace(part(u, 2), r"^.*@", ""), r":\d*$", ""))
+    return _host(part(u, 2))
+
+
+def _host(authority: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
 
 
 def _pairs(query: Column) -> Column:
@@ -46,18 +50,29 @@ def _with_equals(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
 
 
-def canonical_sorted(u: Column) -> Column:
-    """Form A: lower scheme and authority, no final slash, no tracking keys, sorted query with blanks, no fragment."""
-    pairs = F.filter(_with_equals(_pairs(part(u, 4))), lambda p: ~_key(p).startswith("utm_") & ~_key(p).isin(*TRACKING_A))
-    return F.when(is_public(u), _rebuilt(F.lower(part(u, 1)), F.lower(part(u, 2)), F.rtrim(part(u, 3), F.lit("/")), F.array_sort(pairs)))
-
-
 def _taken_apart(u: Column, made: Callable[[Column, Column, Column, Column], Column]) -> Column:
     """What is made of the four parts of a URL that :func:`part` gives, which is taken apart once for all of them."""
     parts = F.split(F.regexp_replace(u, _APART, "$1#$2#$3#$4"), "#")
     return F.get(F.transform(F.array(parts), lambda p: made(*(F.get(p, F.lit(i)) for i in range(4)))), F.lit(0))
 
 
+def _public(u: Column, scheme: Column, authority: Column) -> Column:
+    """:func:`is_public` of a URL that was taken apart. Without user information, the host is the authority without its port."""
+    h = F.lower(F.regexp_replace(authority, r":\d*$", ""))
+    named = F.contains(authority, F.lit(".")) & ~F.contains(authority, F.lit("@")) & ~F.contains(authority, F.lit("["))
+    return (u == F.trim(u)) & F.lower(scheme).isin("http", "https") & named & ~h.rlike(r"(\.|\.local|\.localhost)$|^\d{1,3}(\.\d{1,3}){3}$")
+
+
+def canonical_sorted(u: Column) -> Column:
+    """Form A: lower scheme and authority, no final slash, no tracking keys, sorted query with blanks, no fragment."""
+
+    def made(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
+        pairs = F.filter(_with_equals(_pairs(query)), lambda p: ~_key(p).startswith("utm_") & ~_key(p).isin(*TRACKING_A))
+        return F.when(_public(u, scheme, authority), _rebuilt(F.lower(scheme), F.lower(authority), F.rtrim(path, F.lit("/")), F.array_sort(pairs)))
+
+    return _taken_apart(u, made)
+
+
 def canonical_ordered(u: Column) -> Column:
     """Form B: lower authority, query in order without blank values and tracking keys; path parameters dropped."""
 
@@ -98,11 +113,7 @@ def image_key(u: Column) -> Column:
 
 def is_public(u: Column) -> Column:
     """http(s), a dotted host that is no address and not local, no user information, no blanks around."""
-    h = host(u)
-    return F.coalesce(
-        (u == F.trim(u)) & F.lower(part(u, 1)).isin("http", "https") & F.contains(h, F.lit(".")) & ~F.contains(part(u, 2), F.lit("@")) & ~h.rlike(r"(\.|\.local|\.localhost)$") & ~h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.contains(h, F.lit("[")),
-        F.lit(False),
-    )
+    return F.coalesce(_taken_apart(u, lambda scheme, authority, path, query: _public(u, scheme, authority)), F.lit(False))
 
 
 def is_safe(u: Column) -> Column:
@@ -125,9 +136,14 @@ def post_number(value: Column) -> Column:
 
 def post_identity(u: Column) -> Column:
     """``aagag-<n>`` for a strict https issue URL with one ``idx`` of digits and an optional revision."""
-    values = query_value(u, "idx")
-    ok = (part(u, 1) == "https") & (host(u) == "aagag.com") & (F.rtrim(part(u, 3), F.lit("/")) == "/issue") & (F.size(values) == 1) & values[0].rlike(r"^\d+(_\d+)?$")
-    return F.when(ok, F.concat(F.lit("aagag-"), F.split_part(values[0], F.lit("_"), F.lit(1))))
+
+    def made(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
+        values = F.transform(F.filter(_pairs(query), lambda p: _key(p) == "idx"), lambda p: F.substring_index(p, "=", -1))
+        here = (scheme == "https") & (_host(authority) == "aagag.com") & (F.rtrim(path, F.lit("/")) == "/issue")
+        one = lambda v: F.when((F.size(v) == 1) & F.get(v, F.lit(0)).rlike(r"^\d+(_\d+)?$"), F.concat(F.lit("aagag-"), F.split_part(F.get(v, F.lit(0)), F.lit("_"), F.lit(1))))
+        return F.when(here, F.get(F.transform(F.array(values), one), F.lit(0)))
+
+    return _taken_apart(u, made)
 
 
 def strip_revision(value: Column) -> Column:
