@@ -61,7 +61,7 @@ def distinct(items: Column) -> Column:
 
 
 def within_words(texts: Column, most: int = LIMIT_WORDS) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.size(text.words(F.coalesce(t, F.lit(""))))) <= most
+    return F.aggregate(texts, F.lit(0), lambda n, t: n + text.word_count(F.coalesce(t, F.lit("")))) <= most
 
 
 def count_or_unknown(c: Column) -> Column:
